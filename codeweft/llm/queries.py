@@ -1,9 +1,28 @@
 """The registered queries on training data."""
 
-from codeweft.llm import encoding
+from codeweft.llm import encoding, leaks
 from codeweft.plans.tables import table
 
 
+def p7_found(spark, sf):
+    """(doc_id, item_id) of exact passages: 12 shared words, or all of a shorter item."""
+    found = leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return found.where("run >= needed").select("doc_id", "item_id")
+
+
+def p7_near(spark, sf):
+    """Leaks found exactly or with one word edit, with run and distance."""
+    return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p7_items(spark, sf):
+    """Each leaked item with the number of documents it leaked into."""
+    from pyspark.sql import functions as F
+
+    found = leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if(F.col("run") >= F.col("needed")).alias("exact"))
+
+
 def p9_found(spark, sf):
     """doc_id of each document with a stretch decoded with a wrong encoding."""
     return encoding.garbled(table(spark, sf, "documents")).select("doc_id")
@@ -14,8 +33,21 @@ def p9_repaired(spark, sf):
     return encoding.repaired(table(spark, sf, "documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_repaired": p9_repaired}
-SQL = {}
+QUERIES = {f.__name__: f for f in (p7_found, p7_near, p7_items, p9_found, p9_repaired)}
+
+SQL = {
+    # Every run of 12 words of an item, and every whole item that is shorter, looked up among the runs of the documents.
+    "p7_found": r"""WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower(any_value(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
+i AS (SELECT item_id, regexp_extract_all(lower(any_value(text)), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL GROUP BY item_id),
+runs AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS run FROM (
+    SELECT item_id, w, least(12, len(w)) AS n, unnest(range(1, len(w) - least(12, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+texts AS (
+  SELECT doc_id, n, array_to_string(w[s:s + n - 1], ' ') AS run FROM (
+    SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM runs) WHERE len(w) >= n))
+SELECT DISTINCT doc_id, item_id FROM texts JOIN runs USING (n, run)""",
+}
 
 
 def llm_queries():
