@@ -44,7 +44,7 @@ PSEUDO, FIRST_PRIOR = 200.0, 1e-3
 #: a chain that fits many clean words slightly would feed on its own prior
 MOST_PRIOR, LEAST_EVIDENCE = 0.02, 5.0
 
-SPAN = r"[A-Za-z]*[^\x00-\x7F](?:[A-Za-z]|[^\x00-\x7F])*"
+SPAN = r"(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7F](?:[A-Za-z]|[^\x00-\x7F])*"
 _span = re.compile(SPAN)
 _beyond = re.compile("[^\x00-\x7f\xa0]")
 
@@ -80,6 +80,7 @@ def _tables():
 
 
 _BYTES = _tables()
+_CHARACTERS = {c for table in _BYTES.values() for c in table}
 
 
 def _encode(text: str, name: str):
@@ -125,6 +126,9 @@ def originals(span: str) -> list[tuple[int, str]]:
         if len(_known) > 200_000:
             _known.clear()
         found = [(LOSSY, "")] if LOST in span else []
+        if not _CHARACTERS.issuperset(span):  # no single-byte encoding gives such a span
+            _known[span] = found
+            return found
         raw = {name: _encode(span, name) for name in _BYTES}
         for k, chain in enumerate(CHAINS):
             b = raw[chain[0][0]]
@@ -138,42 +142,61 @@ def originals(span: str) -> list[tuple[int, str]]:
     return found
 
 
-def _slot(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+def _mix(*codes: np.ndarray) -> np.ndarray:
+    x = np.full(codes[0].shape, len(codes), dtype=np.uint64)
+    for c in codes:
+        x = (x ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return (x & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def _grams(span: str):
-    """Slots of the 1-, 2- and 3-grams of a span with its edges."""
-    s = "\x02\x02" + span + "\x03"
-    for i in range(2, len(s)):
-        yield _slot("1" + s[i])
-        yield _slot("2" + s[i - 1 : i + 1])
-        yield _slot("3" + s[i - 2 : i + 1])
-        yield _slot("c" + s[i - 1])
-        yield _slot("d" + s[i - 2 : i])
+_EDGE = "\x02\x02"
+_TOTAL = BUCKETS  # one more place than buckets: the number of characters
+
+
+def _grams(spans: list[str]):
+    """Of many spans at once: (span number, 1-, 2-, 3-gram slots) of each character and end."""
+    codes = np.frombuffer("".join(_EDGE + s + "\x03" for s in spans).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.array([len(s) + 3 for s in spans])
+    owner = np.repeat(np.arange(len(spans)), lengths)
+    inner = np.ones(len(codes), dtype=bool)
+    starts = np.cumsum(lengths) - lengths
+    inner[starts] = inner[starts + 1] = False
+    at = np.flatnonzero(inner)
+    return owner[at], codes, at
 
 
 class Clean:
     """Interpolated trigram model over hashed counts of fixed size."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts, self.total = counts, max(1.0, float(counts[_slot("total")]))
-        self.cache: dict[str, float] = {}
-
-    def log(self, span: str) -> float:
-        known = self.cache.get(span)
-        if known is None:
-            g, n = list(_grams(span)), self.counts
-            known = 0.0
-            for i in range(0, len(g), 5):
-                p = (n[g[i]] + 0.01) / (self.total + 0.01 * 1e5)
-                p = (n[g[i + 1]] + 2 * p) / (n[g[i + 3]] + 2)
-                p = (n[g[i + 2]] + 1 * p) / (n[g[i + 4]] + 1)
-                known += math.log(max(p, 1e-12))
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[span] = known
-        return known
+        self.counts, self.total = counts, max(1.0, float(counts[_TOTAL]))
+        self.logs: dict[str, float] = {}
+        self.evidence: dict[str, list[tuple[int, float]]] = {}
+
+    def _prepare(self, texts: list[str]) -> None:
+        if not texts:
+            return
+        owner, codes, at = _grams(texts)
+        n, x, y, z = self.counts, codes[at - 2], codes[at - 1], codes[at]
+        p = (n[_mix(z)] + 0.01) / (self.total + 0.01 * 1e5)
+        p = (n[_mix(y, z)] + 2 * p) / (n[_mix(y)] + 2)
+        p = (n[_mix(x, y, z)] + p) / (n[_mix(x, y)] + 1)
+        sums = np.bincount(owner, np.log(np.clip(p, 1e-12, 1)), len(texts))
+        self.logs.update(zip(texts, sums.tolist()))
+
+    def weigh(self, spans) -> None:
+        """Keep for each span the chains that explain it better than clean text does."""
+        if len(self.evidence) > 300_000:
+            self.evidence.clear()
+        new = [s for s in spans if s not in self.evidence]
+        found = {s: originals(s) for s in new}
+        self.logs.clear()
+        self._prepare(list({t for s, f in found.items() if f for t in (s, *(t for k, t in f if k != LOSSY))}))
+        for s, f in found.items():
+            own = self.logs[s] if f else 0.0
+            ratios = [(k, 9.0 if k == LOSSY else min(self.logs[t] - own, 40.0)) for k, t in f]
+            self.evidence[s] = [x for x in ratios if x[1] > 1]
 
 
 def _best_run(scores: list[float]) -> tuple[float, int, int]:
@@ -192,14 +215,8 @@ def judge(spans: list[str], model: Clean, prior: np.ndarray):
     """(posterior that a stretch is garbled, best chain, first span, end span)."""
     evidence: dict[int, dict[int, float]] = {}
     for i, span in enumerate(spans):
-        found = originals(span)
-        if not found:
-            continue
-        own = model.log(span)
-        for k, text in found:
-            ratio = 9.0 if k == LOSSY else model.log(text) - own
-            if ratio > 1:
-                evidence.setdefault(k, {})[i] = min(ratio, 40.0)
+        for k, ratio in model.evidence[span]:
+            evidence.setdefault(k, {})[i] = ratio
     if not evidence:
         return 0.0, -1, 0, 0
     logs = []
@@ -227,47 +244,57 @@ def span_table(documents: DataFrame) -> DataFrame:
     )
 
 
+def _add_grams(sums: np.ndarray, spans: Counter) -> None:
+    """Add the n-grams of spans (with their numbers, negative to take away)."""
+    texts = list(spans)
+    if texts:
+        owner, codes, at = _grams(texts)
+        n = np.array([spans[t] for t in texts], dtype=float)
+        weight, x, y, z = n[owner], codes[at - 2], codes[at - 1], codes[at]
+        for slots in (_mix(z), _mix(y, z), _mix(x, y, z)):
+            sums[:BUCKETS] += np.bincount(slots, weight, BUCKETS)
+        edge = np.array([2])
+        sums[_mix(edge)] += n.sum()
+        sums[_mix(edge, edge)] += n.sum()
+        sums[_TOTAL] += weight.sum()
+
+
 def _counted(rows: DataFrame, state) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """M step: n-gram counts without garbled stretches, chain sums and record counts by field."""
+    """Sums over all records, as one row for each place that isn't zero.
+
+    Without a state: n-gram counts of all spans.  With one (M step): what the
+    garbled stretches take away from them, chain sums and record counts by field.
+    """
     width = len(CHAIN_NAMES)
 
     def count(batches):
-        grams, chains, records = Counter(), Counter(), Counter()
+        sums, chains, records = np.zeros(BUCKETS + 1), np.zeros(FIELDS * width), np.zeros(FIELDS)
         if state is not None:
             counts, prior = state.value
             model = Clean(counts)
         for batch in batches:
-            for source, spans in zip(batch["source"], batch["spans"]):
-                field, keep = _field(source), Counter(spans)
-                if state is not None:
-                    p, k, a, b = judge(list(spans), model, prior[field])
-                    records[field] += 1
-                    if k >= 0 and p > 0.01:
-                        chains[field * width + k] += p
-                        if p > 0.5:
-                            keep -= Counter(spans[a:b])
-                for span, n in keep.items():
-                    if LOST not in span:
-                        grams[span] += n
-            if len(grams) > 100_000:
-                yield _partial(grams, {}, {})
-                grams = Counter()
-        yield _partial(grams, chains, records)
-
-    def _partial(grams, chains, records):
-        sums = Counter()
-        for span, n in grams.items():
-            for g in _grams(span):
-                sums[g] += n
-            sums[_slot("total")] += n * (len(span) + 1)
-        parts = [(0, sums), (1, chains), (2, records)]
-        return pd.DataFrame(
-            [(kind, int(k), float(v)) for kind, c in parts for k, v in c.items()], columns=["kind", "slot", "n"]
-        ).astype({"kind": "int32", "slot": "int32", "n": "float64"})
+            spans = [list(x) for x in batch["spans"]]
+            if state is None:
+                _add_grams(sums, Counter(s for x in spans for s in x if LOST not in s))
+                continue
+            model.weigh({s for x in spans for s in x})
+            away = Counter()
+            for source, own in zip(batch["source"], spans):
+                field = _field(source)
+                p, k, a, b = judge(own, model, prior[field])
+                records[field] += 1
+                if k >= 0 and p > 0.01:
+                    chains[field * width + k] += p
+                    if p > 0.5:
+                        away.subtract(s for s in own[a:b] if LOST not in s)
+            _add_grams(sums, away)
+        for kind, x in enumerate((sums, chains, records)):
+            at = np.flatnonzero(x)
+            yield pd.DataFrame({"kind": np.full(len(at), kind, dtype=np.int32), "slot": at.astype(np.int32), "n": x[at]})
 
     # at most BUCKETS + FIELDS * (chains + 1) rows, whatever the input
     total = rows.mapInPandas(count, "kind int, slot int, n double").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
-    out = [np.zeros(BUCKETS), np.zeros(FIELDS * width), np.zeros(FIELDS)]
+    out = [np.zeros(BUCKETS + 1), np.zeros(FIELDS * width), np.zeros(FIELDS)]
     for kind, part in total.groupby("kind"):
         out[kind][part["slot"].to_numpy()] = part["n"].to_numpy()
     return out[0], out[1].reshape(FIELDS, width), out[2]
@@ -280,12 +307,13 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least: float = 0.5) -> D
     lost.  Only records with a posterior of at least ``least`` come out.
     """
     spark = documents.sparkSession
-    documents = documents.select("doc_id", "text", "source").where("text is not null").dropDuplicates(["doc_id"])
-    rows = materialize(span_table(documents))
-    counts, _, _ = _counted(rows, None)
+    rows = materialize(span_table(documents.select("doc_id", "text", "source")))
+    everything, _, _ = _counted(rows, None)
+    counts = everything
     prior = np.full((FIELDS, len(CHAIN_NAMES)), FIRST_PRIOR)
     for _ in range(rounds):
-        counts, chains, records = _counted(rows, spark.sparkContext.broadcast((counts, prior)))
+        away, chains, records = _counted(rows, spark.sparkContext.broadcast((counts, prior)))
+        counts = np.maximum(everything + away, 0)
         overall = (chains.sum(0) + 1e-4 * PSEUDO) / (records.sum() + PSEUDO)
         prior = np.minimum(MOST_PRIOR, (chains + PSEUDO * overall) / (records[:, None] + PSEUDO))
     state = spark.sparkContext.broadcast((counts, prior))
@@ -293,14 +321,16 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least: float = 0.5) -> D
     def judged(batches):
         model = Clean(state.value[0])
         for batch in batches:
-            out = []
-            for doc, source, spans in zip(batch["doc_id"], batch["source"], batch["spans"]):
-                p, k, a, b = judge(list(spans), model, state.value[1][_field(source)])
+            out, all_spans = [], [list(x) for x in batch["spans"]]
+            model.weigh({s for x in all_spans for s in x})
+            for doc, source, spans in zip(batch["doc_id"], batch["source"], all_spans):
+                p, k, a, b = judge(spans, model, state.value[1][_field(source)])
                 if p >= least:
                     out.append((doc, p, k, a, b))
             yield pd.DataFrame(out, columns=["doc_id", "posterior", "k", "a", "b"])
 
-    return rows.mapInPandas(judged, "doc_id bigint, posterior double, k int, a int, b int")
+    found = rows.mapInPandas(judged, "doc_id bigint, posterior double, k int, a int, b int")
+    return found.dropDuplicates(["doc_id"])
 
 
 def repaired(documents: DataFrame, **kwargs) -> DataFrame:
