@@ -11,7 +11,7 @@ ratios over consecutive spans.  The prior of each chain is kept per field
 Expectation-maximization.  E: posterior of each record's chain.  M: the clean
 model is counted again without the stretches believed garbled, and the chain
 priors of each source are averaged.  Each round is one Spark job over the
-spans; what the driver keeps is of fixed size: ``BUCKETS`` n-gram counts and
+spans; what the driver keeps is of fixed size: ``ngrams.BUCKETS`` n-gram counts and
 ``FIELDS`` x chains priors (sources are hashed to FIELDS groups).
 
 U+FFFD stands for bytes that could not be decoded; such a stretch is garbled
@@ -32,9 +32,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.llm import ngrams
 from codeweft.storage import materialize
 
-BUCKETS = 1 << 18
 FIELDS = 1 << 10
 ROUNDS = 2
 LOST = "�"
@@ -142,60 +142,24 @@ def originals(span: str) -> list[tuple[int, str]]:
     return found
 
 
-def _mix(*codes: np.ndarray) -> np.ndarray:
-    x = np.full(codes[0].shape, len(codes), dtype=np.uint64)
-    for c in codes:
-        x = (x ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-    return (x & np.uint64(BUCKETS - 1)).astype(np.int64)
-
-
-_EDGE = "\x02\x02"
-_TOTAL = BUCKETS  # one more place than buckets: the number of characters
-
-
-def _grams(spans: list[str]):
-    """Of many spans at once: (span number, 1-, 2-, 3-gram slots) of each character and end."""
-    codes = np.frombuffer("".join(_EDGE + s + "\x03" for s in spans).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lengths = np.array([len(s) + 3 for s in spans])
-    owner = np.repeat(np.arange(len(spans)), lengths)
-    inner = np.ones(len(codes), dtype=bool)
-    starts = np.cumsum(lengths) - lengths
-    inner[starts] = inner[starts + 1] = False
-    at = np.flatnonzero(inner)
-    return owner[at], codes, at
-
-
 class Clean:
     """Interpolated trigram model over hashed counts of fixed size."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts, self.total = counts, max(1.0, float(counts[_TOTAL]))
-        self.logs: dict[str, float] = {}
+        self.counts = counts
         self.evidence: dict[str, list[tuple[int, float]]] = {}
 
-    def _prepare(self, texts: list[str]) -> None:
-        if not texts:
-            return
-        owner, codes, at = _grams(texts)
-        n, x, y, z = self.counts, codes[at - 2], codes[at - 1], codes[at]
-        p = (n[_mix(z)] + 0.01) / (self.total + 0.01 * 1e5)
-        p = (n[_mix(y, z)] + 2 * p) / (n[_mix(y)] + 2)
-        p = (n[_mix(x, y, z)] + p) / (n[_mix(x, y)] + 1)
-        sums = np.bincount(owner, np.log(np.clip(p, 1e-12, 1)), len(texts))
-        self.logs.update(zip(texts, sums.tolist()))
-
     def weigh(self, spans) -> None:
         """Keep for each span the chains that explain it better than clean text does."""
         if len(self.evidence) > 300_000:
             self.evidence.clear()
         new = [s for s in spans if s not in self.evidence]
         found = {s: originals(s) for s in new}
-        self.logs.clear()
-        self._prepare(list({t for s, f in found.items() if f for t in (s, *(t for k, t in f if k != LOSSY))}))
+        texts = list({t for s, f in found.items() if f for t in (s, *(t for k, t in f if k != LOSSY))})
+        logs = dict(zip(texts, ngrams.logs(self.counts, texts).tolist()))
         for s, f in found.items():
-            own = self.logs[s] if f else 0.0
-            ratios = [(k, 9.0 if k == LOSSY else min(self.logs[t] - own, 40.0)) for k, t in f]
+            own = logs[s] if f else 0.0
+            ratios = [(k, 9.0 if k == LOSSY else min(logs[t] - own, 40.0)) for k, t in f]
             self.evidence[s] = [x for x in ratios if x[1] > 1]
 
 
@@ -244,21 +208,6 @@ def span_table(documents: DataFrame) -> DataFrame:
     )
 
 
-def _add_grams(sums: np.ndarray, spans: Counter) -> None:
-    """Add the n-grams of spans (with their numbers, negative to take away)."""
-    texts = list(spans)
-    if texts:
-        owner, codes, at = _grams(texts)
-        n = np.array([spans[t] for t in texts], dtype=float)
-        weight, x, y, z = n[owner], codes[at - 2], codes[at - 1], codes[at]
-        for slots in (_mix(z), _mix(y, z), _mix(x, y, z)):
-            sums[:BUCKETS] += np.bincount(slots, weight, BUCKETS)
-        edge = np.array([2])
-        sums[_mix(edge)] += n.sum()
-        sums[_mix(edge, edge)] += n.sum()
-        sums[_TOTAL] += weight.sum()
-
-
 def _counted(rows: DataFrame, state) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums over all records, as one row for each place that isn't zero.
 
@@ -268,14 +217,14 @@ def _counted(rows: DataFrame, state) -> tuple[np.ndarray, np.ndarray, np.ndarray
     width = len(CHAIN_NAMES)
 
     def count(batches):
-        sums, chains, records = np.zeros(BUCKETS + 1), np.zeros(FIELDS * width), np.zeros(FIELDS)
+        sums, chains, records = np.zeros(ngrams.BUCKETS + 1), np.zeros(FIELDS * width), np.zeros(FIELDS)
         if state is not None:
             counts, prior = state.value
             model = Clean(counts)
         for batch in batches:
             spans = [list(x) for x in batch["spans"]]
             if state is None:
-                _add_grams(sums, Counter(s for x in spans for s in x if LOST not in s))
+                ngrams.add(sums, Counter(s for x in spans for s in x if LOST not in s))
                 continue
             model.weigh({s for x in spans for s in x})
             away = Counter()
@@ -287,14 +236,14 @@ def _counted(rows: DataFrame, state) -> tuple[np.ndarray, np.ndarray, np.ndarray
                     chains[field * width + k] += p
                     if p > 0.5:
                         away.subtract(s for s in own[a:b] if LOST not in s)
-            _add_grams(sums, away)
+            ngrams.add(sums, away)
         for kind, x in enumerate((sums, chains, records)):
             at = np.flatnonzero(x)
             yield pd.DataFrame({"kind": np.full(len(at), kind, dtype=np.int32), "slot": at.astype(np.int32), "n": x[at]})
 
-    # at most BUCKETS + FIELDS * (chains + 1) rows, whatever the input
+    # at most ngrams.BUCKETS + FIELDS * (chains + 1) rows, whatever the input
     total = rows.mapInPandas(count, "kind int, slot int, n double").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
-    out = [np.zeros(BUCKETS + 1), np.zeros(FIELDS * width), np.zeros(FIELDS)]
+    out = [np.zeros(ngrams.BUCKETS + 1), np.zeros(FIELDS * width), np.zeros(FIELDS)]
     for kind, part in total.groupby("kind"):
         out[kind][part["slot"].to_numpy()] = part["n"].to_numpy()
     return out[0], out[1].reshape(FIELDS, width), out[2]

@@ -38,6 +38,12 @@ PROBES = 4
 MEMBERS, QUERIES = 4096, 16_384
 COLUMNS = (0, 16, 32, 64)
 EPSILON = 2.1
+#: numbers are kept as 16-bit fixed point: an error of 1.5e-5 at half the bytes
+SCALE = 32767
+
+
+def _floats(packed, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype=np.int16).reshape(-1, dim).astype(np.float32) / SCALE
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -67,11 +73,12 @@ def _classes(vectors: DataFrame, dim: int, k: int) -> tuple[DataFrame, DataFrame
             x = np.array(batch["vector"].tolist(), dtype=np.float64)
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.ascontiguousarray((x @ turn).astype(np.float32))
-            ids = [hashlib.blake2b(np.round(row, 6).tobytes(), digest_size=12).digest() for row in x]
-            yield pd.DataFrame({"key": batch["key"], "id": ids, "vec": [row.tobytes() for row in x]})
+            x = x @ turn
+            packed = [row.tobytes() for row in np.rint(x * SCALE).astype(np.int16)]
+            ids = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in packed]
+            yield pd.DataFrame({"key": batch["key"], "id": ids, "vec": packed})
 
-    table = materialize(vectors.mapInPandas(unit, "key string, id binary, vec binary"))
+    table = materialize(vectors.mapInPandas(unit, "key string, id bigint, vec binary"))
 
     def firsts(batches):
         # combine within a batch, so that a hot class sends a few keys a batch
@@ -85,7 +92,7 @@ def _classes(vectors: DataFrame, dim: int, k: int) -> tuple[DataFrame, DataFrame
     counts = table.groupBy("id").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.first("vec").alias("vec"))
     single = counts.where("n = 1").select("id", "vec", F.array("key").alias("firsts"))
     repeated = table.join(counts.where("n > 1").select("id"), "id", "left_semi")
-    several = repeated.mapInPandas(firsts, "id binary, vec binary, firsts array<string>").groupBy("id").agg(
+    several = repeated.mapInPandas(firsts, "id bigint, vec binary, firsts array<string>").groupBy("id").agg(
         F.first("vec").alias("vec"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("firsts")))), 1, k + 1).alias("firsts")
     )
     return table.select("key", "id").distinct(), materialize(single.unionByName(several))
@@ -116,38 +123,38 @@ def scan(queries: np.ndarray, members: np.ndarray, own: np.ndarray, k: int, colu
     n, dim = queries.shape
     best_d, best_i = np.full((n, k), np.inf, dtype=np.float32), np.full((n, k), -1)
     cuts = [c for c in columns if c < dim] + [dim]
+    hi = cuts[1]
+    factor = {c: (c / dim) * (1 + epsilon / np.sqrt(c)) ** 2 if c < dim else 1.0 for c in cuts[1:]}
     for q0 in range(0, n, 1024):
         q, mine = queries[q0 : q0 + 1024], own[q0 : q0 + 1024]
-        top_d, top_i = best_d[q0 : q0 + 1024].copy(), best_i[q0 : q0 + 1024].copy()
-        for m0 in range(0, len(members), 512):
-            m = members[m0 : m0 + 512]
-            hi = cuts[1]
-            part = (q[:, :hi] ** 2).sum(1)[:, None] + (m[:, :hi] ** 2).sum(1)[None, :] - 2 * (q[:, :hi] @ m[:, :hi].T)
-            kth = top_d[:, -1]
-            limit = kth * (hi / dim) * (1 + epsilon / np.sqrt(hi)) ** 2
+        top_d, top_i = best_d[q0 : q0 + 1024], best_i[q0 : q0 + 1024]
+        norms = (q[:, :hi] ** 2).sum(1)[:, None]
+        for m0 in range(0, len(members), 1024):
+            m = members[m0 : m0 + 1024]
+            part = norms + (m[:, :hi] ** 2).sum(1)[None, :] - 2 * (q[:, :hi] @ m[:, :hi].T)
             inside = np.flatnonzero((mine >= m0) & (mine < m0 + len(m)))
             part[inside, mine[inside] - m0] = np.inf
-            i, j = np.nonzero(part < limit[:, None])
+            # the nearest by the first block give a bound for all others
+            seeds = np.argpartition(part, k - 1, axis=1)[:, :k] if len(m) > k else np.broadcast_to(np.arange(len(m)), (len(q), len(m)))
+            full = np.take_along_axis(part, seeds, axis=1) + ((q[:, None, hi:] - m[seeds][:, :, hi:]) ** 2).sum(2)
+            bound = np.sort(np.concatenate([top_d, full], axis=1), axis=1)[:, k - 1] * (1 + 1e-5) + 1e-6
+            i, j = np.nonzero(part <= (bound * factor[hi])[:, None])
             d = part[i, j]
-            for lo, hi in zip(cuts[1:-1], cuts[2:]):
-                d = d + ((q[i, lo:hi] - m[j, lo:hi]) ** 2).sum(1)
-                keep = d < (kth[i] * (hi / dim) * (1 + epsilon / np.sqrt(hi)) ** 2 if hi < dim else kth[i])
+            finite = np.isfinite(d)
+            i, j, d = i[finite], j[finite], d[finite]
+            for lo, up in zip(cuts[1:-1], cuts[2:]):
+                d = d + ((q[i, lo:up] - m[j, lo:up]) ** 2).sum(1)
+                keep = d <= bound[i] * factor[up]
                 i, j, d = i[keep], j[keep], d[keep]
-            if not len(i):
-                continue
-            rows = np.unique(i)
-            place = np.searchsorted(rows, i)
-            dense = np.full((len(rows), len(m) + k), np.inf, dtype=np.float32)
-            dense[:, len(m) :] = top_d[rows]
-            dense[place, j] = np.maximum(d, 0)
-            pick = np.argpartition(dense, k - 1, axis=1)[:, :k]
-            value = np.take_along_axis(dense, pick, axis=1)
-            order = np.argsort(value, axis=1, kind="stable")
-            pick, value = np.take_along_axis(pick, order, axis=1), np.take_along_axis(value, order, axis=1)
-            old = np.take_along_axis(top_i[rows], np.clip(pick - len(m), 0, k - 1), axis=1)
-            top_i[rows] = np.where(np.isinf(value), -1, np.where(pick < len(m), pick + m0, old))
-            top_d[rows] = value
-        best_d[q0 : q0 + 1024], best_i[q0 : q0 + 1024] = top_d, top_i
+            old = np.flatnonzero(top_i >= 0)
+            rows = np.concatenate([i, old // k])
+            dist = np.concatenate([np.maximum(d, 0), top_d.ravel()[old]])
+            place = np.concatenate([j + m0, top_i.ravel()[old]])
+            order = np.lexsort((place, dist, rows))
+            rows, dist, place = rows[order], dist[order], place[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            keep = rank < k
+            top_d[rows[keep], rank[keep]], top_i[rows[keep], rank[keep]] = dist[keep], place[keep]
     return best_d, best_i
 
 
@@ -157,71 +164,86 @@ def nearest(classes: DataFrame, dim: int, k: int, probes: int = PROBES, list_row
     n = classes.count()
     step = max(1, -(-n // SAMPLE))
     picked = classes.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("vec").limit(2 * SAMPLE).toPandas()["vec"]
-    sample = np.frombuffer(b"".join(picked), dtype=np.float32).reshape(-1, dim)
+    sample = _floats(picked, dim)
     lists = int(min(max(1, n // list_rows), max(1, len(sample) // 64), SAMPLE // 64)) if len(sample) else 1
     centres = spark.sparkContext.broadcast(codebook(sample, lists) if len(sample) else np.zeros((1, dim), dtype=np.float32))
 
-    def assign(batches):
+    def probed(packed) -> np.ndarray:
+        """The nearest lists of each vector, the nearest first."""
+        p = min(probes, len(centres.value))
+        score = _floats(packed, dim) @ centres.value.T
+        near = np.argpartition(-score, p - 1, axis=1)[:, :p]
+        return np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, axis=1), axis=1, kind="stable"), axis=1)
+
+    def tally(batches):
+        m, q = np.zeros(len(centres.value), dtype=np.int64), np.zeros(len(centres.value), dtype=np.int64)
+        for batch in batches:
+            if len(batch):
+                near = probed(batch["vec"])
+                m += np.bincount(near[:, 0], minlength=len(m))
+                q += np.bincount(near.ravel(), minlength=len(q))
+        yield pd.DataFrame({"list": np.arange(len(m), dtype=np.int32), "m": m, "q": q})
+
+    # at most SAMPLE / 64 rows; the assignment itself is cheaper to repeat than to store
+    sizes = classes.select("vec").mapInPandas(tally, "list int, m bigint, q bigint").groupBy("list").agg(F.sum("m"), F.sum("q")).collect()
+    blocks = np.ones((len(centres.value), 2), dtype=np.int64)
+    for number, m, q in sizes:
+        blocks[number] = max(1, -(-m // MEMBERS)), max(1, -(-q // QUERIES))
+    blocks = spark.sparkContext.broadcast(blocks)
+
+    def send(batches):
+        # a member goes to its block for each query block, a query to each member
+        # block; in a list of one block a member row serves as a query too
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.frombuffer(b"".join(batch["vec"]), dtype=np.float32).reshape(-1, dim)
-            p = min(probes, len(centres.value))
-            score = x @ centres.value.T
-            near = np.argpartition(-score, p - 1, axis=1)[:, :p]
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, axis=1), axis=1, kind="stable"), axis=1)
-            for r in range(p):
-                yield pd.DataFrame({"list": near[:, r], "member": r == 0, "id": batch["id"], "vec": batch["vec"]})
-
-    rows = materialize(classes.select("id", "vec").mapInPandas(assign, "list int, member boolean, id binary, vec binary"))
-    # at most SAMPLE / 64 rows
-    size = rows.groupBy("list").agg(F.count_if("member").alias("m"), F.count("*").alias("q")).select(
-        "list", F.ceil(F.col("m") / MEMBERS).alias("mb"), F.ceil(F.col("q") / QUERIES).alias("qb")
-    )
-    h = F.xxhash64("id")
-    cut = rows.join(F.broadcast(size), "list").where("mb > 0")
-    # a member goes to its block for each query block, a query to each member block
-    members = cut.where("member").select(
-        "list", F.pmod(h, "mb").alias("m"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qb") - 1)).alias("q"),
-        F.lit(0).alias("role"), "id", "vec",
-    )
-    queries = cut.where("not member or qb > 1 or mb > 1").select(
-        "list", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mb") - 1)).alias("m"), F.pmod(h, "qb").alias("q"),
-        F.lit(1).alias("role"), "id", "vec",
-    )
-    # in a list of one block the member rows serve as queries too and are sent once
-    sent = members.join(F.broadcast(size.where("mb = 1 and qb = 1").select("list", F.lit(True).alias("one"))), "list", "left").unionByName(
-        queries.withColumn("one", F.lit(None).cast("boolean"))
-    )
+            near, ids, vec = probed(batch["vec"]), batch["id"].to_numpy(), batch["vec"].to_numpy()
+            for r in range(near.shape[1]):
+                mb, qb = blocks.value[near[:, r]].T
+                one = (mb == 1) & (qb == 1)
+                block_m, block_q = ids % mb, ids // 7 % qb
+                for role in ("member", "query"):
+                    if role == "member" and r:
+                        continue
+                    times = qb if role == "member" else np.where(one & (r == 0), 0, mb)
+                    at = np.repeat(np.arange(len(ids)), times)
+                    turn = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                    yield pd.DataFrame(
+                        {
+                            "list": near[at, r].astype(np.int32),
+                            "m": (block_m[at] if role == "member" else turn).astype(np.int32),
+                            "q": (turn if role == "member" else block_q[at]).astype(np.int32),
+                            "role": np.where(one[at] & (role == "member"), 2, int(role == "query")).astype(np.int8),
+                            "id": ids[at], "vec": vec[at],
+                        }
+                    )
 
     def search(batches):
         for rows in whole_units(batches, ["list", "m", "q"]):
             ends = edges([rows[c].to_numpy() for c in ("list", "m", "q")])
-            role, one, ids = rows["role"].to_numpy(), rows["one"].fillna(False).to_numpy(dtype=bool), rows["id"].to_numpy()
-            x = np.frombuffer(b"".join(rows["vec"]), dtype=np.float32).reshape(-1, dim)
+            role, ids, x = rows["role"].to_numpy(), rows["id"].to_numpy(), _floats(rows["vec"], dim)
             for lo, hi in zip(ends[:-1], ends[1:]):
                 at = np.arange(lo, hi)
-                m = at[role[lo:hi] == 0]
-                if not len(m):
+                m, q = at[role[lo:hi] != 1], at[role[lo:hi] != 0]
+                if not len(m) or not len(q):
                     continue
-                q = at[(role[lo:hi] == 1) | one[lo:hi]]
-                if not len(q):
-                    continue
-                where = {i: p for p, i in enumerate(ids[m])}
-                own = np.array([where.get(i, -1) for i in ids[q]])
+                order = np.argsort(ids[m])
+                place = np.minimum(np.searchsorted(ids[m], ids[q], sorter=order), len(m) - 1)
+                own = np.where(ids[m][order[place]] == ids[q], order[place], -1)
                 d, i = scan(x[q], x[m], own, k)
-                yield pd.DataFrame(
-                    {
-                        "id": ids[q],
-                        "found": [[{"d": float(a), "id": ids[m[b]]} for a, b in zip(dd, ii) if b >= 0] for dd, ii in zip(d, i)],
-                    }
-                )
+                count = (i >= 0).sum(1)
+                near = ids[m][np.maximum(i, 0)]
+                yield pd.DataFrame({"id": ids[q], "d": [a[:c] for a, c in zip(d, count)], "near": [a[:c] for a, c in zip(near, count)]})
 
+    sent = classes.select("id", "vec").mapInPandas(send, "list int, m int, q int, role byte, id bigint, vec binary")
     found = sent.repartition("list", "m", "q").sortWithinPartitions("list", "m", "q").mapInPandas(
-        search, "id binary, found array<struct<d: float, id: binary>>"
+        search, "id bigint, d array<float>, near array<bigint>"
     )
     # a vector has a row for each probed list and block of it
-    return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    return (
+        found.select("id", F.arrays_zip("d", F.col("near").alias("id")).alias("found"))
+        .groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    )
 
 
 def neighbours(vectors: DataFrame, dim: int = 64, k: int = 5, probes: int = PROBES, list_rows: int = LIST_ROWS) -> DataFrame:

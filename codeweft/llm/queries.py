@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codeweft.llm import encoding, leaks, near_dups, neighbours
+from codeweft.llm import encoding, leaks, near_dups, neighbours, secrets
 from codeweft.plans.tables import table
 
 
@@ -23,6 +23,20 @@ def p4_neighbours(spark, sf):
     return _neighbours(spark, sf, "code_vectors", "vec_id")
 
 
+def _credentials(spark, sf):
+    return secrets.credentials(secrets.code_records(*(table(spark, sf, t) for t in ("nodes", "git_commits", "files"))))
+
+
+def p5_found(spark, sf):
+    """(source_table, project, record_key) of each record with a credential."""
+    return _credentials(spark, sf).select("source_table", "project", "record_key")
+
+
+def p5_redacted(spark, sf):
+    """Each such record with the kinds found and its text without the credentials."""
+    return _credentials(spark, sf)
+
+
 def _near_nodes(spark, sf, threshold=0.7):
     return near_dups.near_duplicates(near_dups.node_records(table(spark, sf, "nodes")), threshold=threshold, least=30)
 
@@ -76,7 +90,7 @@ def p9_repaired(spark, sf):
     return encoding.repaired(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p6_found, p6_classes, p7_found, p7_near, p7_items, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_classes, p7_found, p7_near, p7_items, p9_found, p9_repaired)}
 
 SQL = {
     "p6_found": r"""WITH n AS (
