@@ -112,6 +112,43 @@ def codebook(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     return centres.astype(np.float32)
 
 
+def _survivors(q, m, part, bound, cuts, factor, k):
+    """(query, member, squared distance) of the candidates within ``bound``.
+
+    While many candidates are left a block of columns is one product of matrices
+    over the queries and members that still have any; the rest are read singly.
+    """
+    rows, columns, hi = np.arange(len(q)), np.arange(len(m)), cuts[1]
+    for lo, up in zip(cuts[1:-1], cuts[2:]):
+        alive = part <= (bound[rows] * factor[hi])[:, None]
+        if np.count_nonzero(alive) < 0.02 * alive.size:
+            break
+        keep, hold = alive.any(axis=1), alive.any(axis=0)
+        if keep.mean() < 0.8 or hold.mean() < 0.8:
+            rows, columns, part, alive = rows[keep], columns[hold], part[np.ix_(keep, hold)], alive[np.ix_(keep, hold)]
+        a, b = q[rows, lo:up], m[columns, lo:up]
+        part = part + (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * (a @ b.T)
+        hi = up
+    if hi == cuts[-1] and part.shape[1] > k:
+        # all columns are read: k of each query are enough
+        j = np.argpartition(part, k - 1, axis=1)[:, :k]
+        d = np.take_along_axis(part, j, axis=1)
+        i, at = np.nonzero(d <= bound[rows][:, None])
+        j, d = j[i, at], d[i, at]
+    else:
+        i, j = np.nonzero(part <= (bound[rows] * factor[hi])[:, None])
+        d = part[i, j]
+    i, j = rows[i], columns[j]
+    finite = np.isfinite(d)
+    i, j, d = i[finite], j[finite], d[finite]
+    for lo, up in zip(cuts[1:-1], cuts[2:]):
+        if lo >= hi:
+            d = d + ((q[i, lo:up] - m[j, lo:up]) ** 2).sum(1)
+            keep = d <= bound[i] * factor[up]
+            i, j, d = i[keep], j[keep], d[keep]
+    return i, j, d
+
+
 def scan(queries: np.ndarray, members: np.ndarray, own: np.ndarray, k: int, columns=COLUMNS, epsilon: float = EPSILON):
     """(distances, members) of the k nearest of each query, inf and -1 where there are fewer.
 
@@ -138,14 +175,7 @@ def scan(queries: np.ndarray, members: np.ndarray, own: np.ndarray, k: int, colu
             seeds = np.argpartition(part, k - 1, axis=1)[:, :k] if len(m) > k else np.broadcast_to(np.arange(len(m)), (len(q), len(m)))
             full = np.take_along_axis(part, seeds, axis=1) + ((q[:, None, hi:] - m[seeds][:, :, hi:]) ** 2).sum(2)
             bound = np.sort(np.concatenate([top_d, full], axis=1), axis=1)[:, k - 1] * (1 + 1e-5) + 1e-6
-            i, j = np.nonzero(part <= (bound * factor[hi])[:, None])
-            d = part[i, j]
-            finite = np.isfinite(d)
-            i, j, d = i[finite], j[finite], d[finite]
-            for lo, up in zip(cuts[1:-1], cuts[2:]):
-                d = d + ((q[i, lo:up] - m[j, lo:up]) ** 2).sum(1)
-                keep = d <= bound[i] * factor[up]
-                i, j, d = i[keep], j[keep], d[keep]
+            i, j, d = _survivors(q, m, part, bound, cuts, factor, k)
             old = np.flatnonzero(top_i >= 0)
             rows = np.concatenate([i, old // k])
             dist = np.concatenate([np.maximum(d, 0), top_d.ravel()[old]])
