@@ -61,15 +61,19 @@ PUBLIC = re.compile(
     re.S,
 )
 HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]+$")
-QUOTED = r"""(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)"""
-#: name, an optional type, := or :, up to one opening call, a literal; with ``||`` the literal after it
+#: an assignment operator, at most one opening call, a literal and what is joined to it
 ASSIGNED = re.compile(
-    r"""(?P<name>["']?[A-Za-z_$][\w$.-]*["']?(?:\[\d*\])?)[ \t]*(?::[ \t]*&?(?:'static[ \t]+)?[\w<>\[\]]+[ \t]*=|:=|=>|=(?!=)|:)[ \t]*"""
-    r"""(?:[\w.$]+(?:\[["']\w+["']\])?[ \t]*(?:\|\||\?\?)[ \t]*)?(?P<call>(?:[\w.:$]+!?\([ \t]*)?)"""
-    + QUOTED
-    + r"""(?P<more>(?:[ \t]*[+,.]?[ \t]*\\?\n?[+-]?[ \t]*["'](?:\\.|[^"'\\\n])*["'])*)"""
+    r"""(?:=>|:=|=|:|\|\||\?\?)[ \t]*(?P<call>(?:[A-Za-z_$][\w.:$]*!?\([ \t]*)?)(?P<q>["'`])(?P<v>(?:[^"'`\\\n]|\\.|(?!(?P=q))["'`])*)(?P=q)"""
+    r"""(?P<more>(?:[ \t]*[+,.]?[ \t]*\\?\n?[+-]?[ \t]*["'](?:\\.|[^"'\\\n])*["'])*)"""
 )
-CALLED = re.compile(r"""(?P<name>[A-Za-z_$][\w.$]*)!?\((?P<args>[^()\n]*["'][^()\n]*)\)""")
+#: the name before the operator, with its type or, before ``||``, what else it may be
+NAMED = re.compile(
+    r"""(?P<name>["']?[A-Za-z_$][\w$.-]*["']?(?:\[\d*\])?)[ \t]*"""
+    r"""(?::[ \t]*&?(?:'static[ \t]+)?[\w<>\[\]]+[ \t]*|=[ \t]*[\w.$]+(?:\[["']\w+["']\])?[ \t]*)?$"""
+)
+PLAIN = re.compile(r"^[a-z]*(?:[ _-][a-z]+)*$")
+CALLED = re.compile(r"""\((?P<args>[^()\n"']*["'][^()\n]*)\)""")
+CALLEE = re.compile(r"[A-Za-z_$][\w.$]*!?$")
 ARGUMENT = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
 UNQUOTED = re.compile(r"^[+\- \t]*(?:export[ \t]+|ENV[ \t]+|-[ \t]+|(?://|#)[ \t]*)?(?P<name>[A-Za-z][\w.-]*)[ \t]*[=:][ \t]*(?P<v>[^\s\"'`;,(){}\[\]<>]{6,})[ \t]*\r?$", re.M)
 OPTION = re.compile(r"""(?P<name>[A-Za-z_][\w-]*)(?:=|:[ \t]*\\?["'])(?P<v>[^;&\s"'`\\,]+)""")
@@ -80,13 +84,9 @@ KEY_HEADER = re.compile(r"(?i)\bx-[a-z-]*(?:key|token|secret)[\"']?[ \t]*[:=,][
 CURL_USER = re.compile(r"""(?:-u|--user)[ =]["']?(?P<user>[^\s:"']+):(?P<v>[^\s"']+)""")
 PRIVATE = re.compile(r"-----BEGIN (?P<kind>[A-Z ]*)PRIVATE KEY(?: BLOCK)?-----(?P<v>(?:\\n|[\s+A-Za-z0-9/=\"',-])*?)(?=-----END|$|[^\\\sA-Za-z0-9+/=\"',-])")
 LOGIN_NOTE = re.compile(r"(?i)\b(?:login|creds?|credentials?|account|password|pass|pwd)\b[^\n]{0,24}?(?::|->|=|is)[ \t]*(?P<user>[\w.@-]+)[ \t]*(?:/|\|)[ \t]*(?P<v>[^\s,;\"'`]+)")
-KEY_NOTE = re.compile(r"(?i)\b(?:private key|wallet key|signing key|secret key|signer pk|\bpk|priv(?:ate)?key|mnemonic|seed)\b[^\n0]{0,40}?(?P<v>0x[0-9a-f]{64})\b")
-BLOB = re.compile(r"(?<![\w/+.-])[A-Za-z][\w-]{23,}(?![\w/+=-])")
-#: nothing can be found in a text without one of these
-QUICK = re.compile(
-    r"(?i)pass|pwd|curl|secret|token|cred|auth|login|mnemonic|key|bearer|basic|://[^/\s]*@|\bpk\b|AKIA|ASIA|gh[pousr]_|xox|_live_|_prod_|npm_|eyJ|[?&]sig=|base64|atob|['\"]\w[\w.-]*\.(?:test|invalid|example|com|net|org|io|local|internal)\b"
-    r"|[A-Za-z][\w-]{23}"
-)
+WALLET = re.compile(r"\b0x[0-9a-f]{64}\b")
+NOTED = re.compile(r"(?i)\b(?:private key|wallet key|signing key|secret key|signer pk|pk|priv(?:ate)?key|mnemonic|seed)\b[^\n]{0,40}$")
+FORM = re.compile(r"(?i)\b(?:password|passwd|secret|token|api_?key)=(?P<v>[^&\s\"'`;,)}]{6,})")
 
 
 class Words:
@@ -192,29 +192,37 @@ class Scanner:
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of each credential, in order and without overlaps."""
-        if not text or not QUICK.search(text):
+        if not text:
             return []
         out: list[tuple[int, int, str]] = []
         add = lambda m, kind, g="v": out.append((*m.span(g), kind))
-        for m in PRIVATE.finditer(text):
+        lower = text.lower()
+        has = lambda *parts: any(p in lower for p in parts)
+        for m in PRIVATE.finditer(text) if "PRIVATE KEY" in text else ():
             if len(re.sub(r"\\n|\W", "", m["v"])) >= 24:
                 add(m, "private key")
         for m in TOKEN.finditer(text):
             if self.words.residual(m.group()) >= 10:
                 add(m, "token", 0)
         for m in ASSIGNED.finditer(text):
-            where, value = context(m["name"]), m["v"]
-            if where != "public" and m["more"]:
-                parts = "".join(a or b for a, b in re.findall(r"\"((?:\\.|[^\"\\])*)\"|'((?:\\.|[^'\\])*)'", m["more"]))
-                joined = re.match(r"[ \t]*[+]|[ \t]*\\?\n", m["more"]) or "concat" in m["call"]
-                if joined and self.secret(value + parts, where, m["name"]):
-                    out.append((m.start("v"), m.end("more") - 1, "split literal"))
-                    continue
+            value, more = m["v"], m["more"]
+            if len(value) < 6 or (not more and PLAIN.match(value) and value.count(" ") < 11):
+                continue
+            before = NAMED.search(text, max(0, m.start() - 100, text.rfind("\n", 0, m.start()) + 1), m.start())
+            if before is None:
+                continue
+            where = context(before["name"])
             if where == "public":
                 continue
+            if more:
+                parts = "".join(a or b for a, b in re.findall(r"\"((?:\\.|[^\"\\])*)\"|'((?:\\.|[^'\\])*)'", more))
+                joined = re.match(r"[ \t]*[+]|[ \t]*\\?\n", more) or "concat" in m["call"]
+                if joined and self.secret(value + parts, where, before["name"]):
+                    out.append((m.start("v"), m.end("more") - 1, "split literal"))
+                    continue
             if re.search(r"(?i)atob|base64", m["call"]) and (t := decoded(value)) and self.secret(t.split(":", 1)[-1], "secret"):
                 add(m, "encoded")
-            elif self.secret(value, where, m["name"]):
+            elif self.secret(value, where, before["name"]):
                 add(m, "assigned")
             elif not where or where == "key":
                 for o in OPTION.finditer(value):
@@ -222,41 +230,45 @@ class Scanner:
                         out.append((m.start("v") + o.start("v"), m.start("v") + o.end("v"), "option"))
         for m in CALLED.finditer(text):
             args = [(a, a[2]) for a in ARGUMENT.finditer(m["args"])]
-            base = m.start("args")
-            if re.search(r"(?i)atob|base64", m["name"] + m["args"]):
+            base, last = m.start("args"), args[-1][1] if args else ""
+            if len(last) < 6 or PLAIN.match(last):
+                continue
+            callee = CALLEE.search(text, max(0, m.start() - 60), m.start())
+            if re.search(r"(?i)atob|base64", (callee.group() if callee else "") + m["args"]):
                 for a, v in args:
                     t = decoded(v)
                     if t and ":" in t and self.secret(t.split(":", 1)[1], "secret"):
                         out.append((base + a.start(2), base + a.end(2), "encoded"))
             if len(args) >= 2:
-                first, last = args[-2][1], args[-1][1]
+                first = args[-2][1]
                 host = len(args) >= 3 and re.fullmatch(r"[\w-]+(?:\.[\w-]+)+(?::\d+)?|localhost", args[0][1])
                 named = context(first) == "secret"
                 if (host and self.secret(last, "secret")) or (named and self.secret(last, "secret", first)):
                     out.append((base + args[-1][0].start(2), base + args[-1][0].end(2), "argument"))
-        for m in UNQUOTED.finditer(text):
+        for m in UNQUOTED.finditer(text) if has("pass", "pwd", "secret", "token", "key", "auth", "cred", "login") else ():
             if context(m["name"]) == "secret" and not re.fullmatch(r"[\w.]*[A-Za-z_.]\w*", m["v"]) and self.secret(m["v"], "secret", m["name"]):
                 add(m, "setting")
-        for pattern in (USERINFO, CURL_USER, LOGIN_NOTE):
-            for m in pattern.finditer(text):
+        logins = [(USERINFO, "://" in text), (CURL_USER, "curl" in lower), (LOGIN_NOTE, has("login", "cred", "account", "pass", "pwd"))]
+        for pattern, worth in logins:
+            for m in pattern.finditer(text) if worth else ():
                 if not PLACEHOLDER.match(m["v"]) and self.secret(m["v"].rstrip("."), "secret"):
                     add(m, "login")
-        for m in QUERY.finditer(text):
+        for m in QUERY.finditer(text) if "://" in text else ():
             if (context(m["name"]) in ("secret", "key") or m["name"].lower() in ("key", "sig", "signature")) and self.secret(m["v"], "secret", "token"):
                 add(m, "query")
-        for m in re.finditer(r"(?i)\b(?:password|passwd|secret|token|api_?key)=(?P<v>[^&\s\"'`;,)}]{6,})", text):
+        for m in FORM.finditer(text) if has("password=", "passwd=", "secret=", "token=", "key=") else ():
             if self.secret(m["v"], "secret"):
                 add(m, "form")
-        for m in HEADER.finditer(text):
+        for m in HEADER.finditer(text) if has("basic ", "bearer ") else ():
             t = decoded(m["v"])
             if (t and ":" in t) if m["kind"].lower() == "basic" else self.words.residual(m["v"]) >= 12:
                 add(m, "header")
-        for m in KEY_HEADER.finditer(text):
+        for m in KEY_HEADER.finditer(text) if has("-key", "-token", "-secret") else ():
             if self.words.residual(m["v"]) >= 10 and not PLACEHOLDER.match(m["v"]):
                 add(m, "header")
-        for m in KEY_NOTE.finditer(text):
-            if m["v"].strip("0x"):
-                add(m, "private key")
+        for m in WALLET.finditer(text) if "0x" in text else ():
+            if m.group().strip("0x") and NOTED.search(text, max(0, m.start() - 60), m.start()):
+                add(m, "private key", 0)
         found, end = [], -1
         for a, b, kind in sorted(out):
             if a >= end:
