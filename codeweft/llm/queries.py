@@ -2,10 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from codeweft.llm import encoding, leaks, near_dups, neighbours, secrets
+from codeweft.llm import encoding, leaks, near_dups, neighbours, provenance, secrets
 from codeweft.plans.tables import table
 
 
+def p2_found(spark, sf):
+    """(project, file_path) of generated, minified, third-party and data files."""
+    return provenance.provenance(table(spark, sf, "files")).where("kind is not null").select("project", "file_path")
+
+
+def p2_measures(spark, sf):
+    """Kind and measures of every file."""
+    return provenance.provenance(table(spark, sf, "files"))
+
+
 def _neighbours(spark, sf, name, key):
     df = table(spark, sf, name)
     return neighbours.neighbours(neighbours.valid_vectors(df, F.col(key).cast("string"), F.col("embedding"), 64))
@@ -90,7 +100,7 @@ def p9_repaired(spark, sf):
     return encoding.repaired(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_classes, p7_found, p7_near, p7_items, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_measures, p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_classes, p7_found, p7_near, p7_items, p9_found, p9_repaired)}
 
 SQL = {
     "p6_found": r"""WITH n AS (
