@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codeweft.llm import encoding, leaks, near_dups, neighbours, provenance, secrets
+from codeweft.llm import encoding, leaks, near_dups, neighbours, parsing, provenance, secrets
 from codeweft.plans.tables import table
 
 
@@ -16,6 +16,16 @@ def p2_measures(spark, sf):
     return provenance.provenance(table(spark, sf, "files"))
 
 
+def p3_found(spark, sf):
+    """(project, file_path) of each file that its language's parser rejects."""
+    return parsing.syntax(table(spark, sf, "files")).where("cost > 0").select("project", "file_path")
+
+
+def p3_rates(spark, sf):
+    """Files, invalid files, their rate and edits by project and language."""
+    return parsing.rates(table(spark, sf, "files"))
+
+
 def _neighbours(spark, sf, name, key):
     df = table(spark, sf, name)
     return neighbours.neighbours(neighbours.valid_vectors(df, F.col(key).cast("string"), F.col("embedding"), 64))
@@ -100,7 +110,7 @@ def p9_repaired(spark, sf):
     return encoding.repaired(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_measures, p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_classes, p7_found, p7_near, p7_items, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_measures, p3_found, p3_rates, p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_classes, p7_found, p7_near, p7_items, p9_found, p9_repaired)}
 
 SQL = {
     "p6_found": r"""WITH n AS (
