@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codeweft.llm import encoding, leaks, near_dups, neighbours, parsing, provenance, secrets
+from codeweft.llm import encoding, leaks, mixing, near_dups, neighbours, parsing, provenance, secrets
 from codeweft.plans.tables import table
 
 
@@ -100,6 +100,16 @@ def p7_items(spark, sf):
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if(F.col("run") >= F.col("needed")).alias("exact"))
 
 
+def p8_schedule(spark, sf):
+    """The mixture: document pieces of each slot."""
+    return mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p8_shares(spark, sf):
+    """Target and actual share of each source."""
+    return mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
 def p9_found(spark, sf):
     """doc_id of each document with a stretch decoded with a wrong encoding."""
     return encoding.garbled(table(spark, sf, "documents")).select("doc_id")
@@ -110,7 +120,7 @@ def p9_repaired(spark, sf):
     return encoding.repaired(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_measures, p3_found, p3_rates, p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_classes, p7_found, p7_near, p7_items, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_measures, p3_found, p3_rates, p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_classes, p7_found, p7_near, p7_items, p8_schedule, p8_shares, p9_found, p9_repaired)}
 
 SQL = {
     "p6_found": r"""WITH n AS (
