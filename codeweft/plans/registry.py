@@ -1,8 +1,8 @@
 """All queries of the core, with the SQL they are checked against."""
 
-from codeweft.plans import core_queries, hierarchy_queries, pattern_queries
+from codeweft.plans import core_queries, extract_queries, hierarchy_queries, pattern_queries
 
-MODULES = [hierarchy_queries, core_queries, pattern_queries]
+MODULES = [hierarchy_queries, core_queries, pattern_queries, extract_queries]
 
 
 def core_queries():
