@@ -99,7 +99,7 @@ class Index:
         ends = [*starts[1:], len(ids)]
         flat = np.array(ids, dtype=np.uint64)
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        done = set()
+        done, whole = set(), set()
         for m, (keys, places) in self.pieces.items():
             if len(flat) < m:
                 continue
@@ -112,7 +112,7 @@ class Index:
                 while j < len(keys) and keys[j] == rolled[p]:
                     k, o = places[j]
                     j += 1
-                    if (k, p - o) in done:
+                    if (k, p - o) in done or (d, k) in whole:
                         continue
                     item_id, item, w = self.items[k]
                     a, b = p, p + m
@@ -124,7 +124,10 @@ class Index:
                     i = o + m
                     while b < ends[d] and i < len(item) and ids[b] == item[i]:
                         b, i = b + 1, i + 1
-                    done.add((k, p - o)) if b - a >= w else None
+                    if b - a >= w:
+                        done.add((k, p - o))
+                    if b - a == len(item):
+                        whole.add((d, k))  # no longer run is possible
                     run, least = b - a, 0
                     if run < w:
                         least = self.errors + 1

@@ -262,3 +262,16 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, least: int = 1):
     table = materialize(class_table(records, least))
     classes = table.groupBy("class_id").agg(F.first("kind").alias("kind"), F.first("shingles").alias("shingles"))
     return table.select("id", "class_id"), similar_classes(materialize(classes), threshold)
+
+
+def copy_pairs(members: DataFrame, rows: int = 4096) -> DataFrame:
+    """(a, b), a < b, of the records of one class.
+
+    A large class is cut: the left side by a salt, the right side repeated for
+    each salt, so that no task pairs more than ``rows`` records with the class.
+    """
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1")
+    several = members.join(sizes, "class_id").withColumn("cuts", F.ceil(F.col("n") / rows).cast("int"))
+    a = several.select("class_id", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("salt"))
+    b = several.select("class_id", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("salt"))
+    return a.join(b, ["class_id", "salt"]).where("a < b").select("a", "b")

@@ -66,7 +66,7 @@ def p6_found(spark, sf):
     members, links = _near_nodes(spark, sf)
     a = members.select(F.col("id").alias("a"), F.col("class_id").alias("class_a"))
     b = members.select(F.col("id").alias("b"), F.col("class_id").alias("class_b"))
-    copies = a.join(b.withColumnRenamed("class_b", "class_a"), "class_a").where("a < b").select("a", "b")
+    copies = near_dups.copy_pairs(members)
     others = links.join(a, "class_a").join(b, "class_b").select("a", "b")
     return copies.unionByName(others).select(
         F.least("a", "b").alias("node_id_a"), F.greatest("a", "b").alias("node_id_b")

@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DICTIONARY = 50_000
-LEAST_COUNT = 5
+#: a word occurs in this share of the records, a short one in five times as many:
+#: pieces of random literals repeat too, in proportion to the records
+LEAST_SHARE, SHORT = 2e-4, 3
 LONGEST_WORD = 24
 
 _subword = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])")
@@ -76,7 +78,11 @@ CALLED = re.compile(r"""\((?P<args>[^()\n"']*["'][^()\n]*)\)""")
 CALLEE = re.compile(r"[A-Za-z_$][\w.$]*!?$")
 ARGUMENT = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
 UNQUOTED = re.compile(r"^[+\- \t]*(?:export[ \t]+|ENV[ \t]+|-[ \t]+|(?://|#)[ \t]*)?(?P<name>[A-Za-z][\w.-]*)[ \t]*[=:][ \t]*(?P<v>[^\s\"'`;,(){}\[\]<>]{6,})[ \t]*\r?$", re.M)
-OPTION = re.compile(r"""(?P<name>[A-Za-z_][\w-]*)(?:=|:[ \t]*\\?["'])(?P<v>[^;&\s"'`\\,]+)""")
+OPTION = re.compile(r"""(?P<name>[A-Za-z_][\w-]*)(?:=|:[ \t]*)(?P<q>\\?["'])?(?P<v>(?(q)[^"'`\\\n]+|[^;&\s"'`\\,]+))""")
+#: the same where semicolons separate
+LISTED = re.compile(r"""(?P<name>[A-Za-z_][\w-]*)=(?P<q>\\?["'])?(?P<v>[^;\s"'`\\]+)""")
+#: what is taken where a variable of the environment isn't set
+FALLBACK = re.compile(r"""["'](?P<name>[A-Z][A-Z0-9_]*)["'][ \t]*\)?[ \t]*(?:\.\w+\([ \t]*(?:\|\w*\|[ \t]*)?|\?\?|\|\|)[ \t]*["'](?P<v>[^"'\\\n]+)["']""")
 USERINFO = re.compile(r"\b[a-z][a-z0-9+.-]*://(?P<user>[^/\s:@\"'`]*):(?P<v>[^/\s@\"'`]+)@")
 QUERY = re.compile(r"[?&](?P<name>[A-Za-z_-]+)=(?P<v>[^&\s\"'`#]+)")
 HEADER = re.compile(r"(?i)\b(?:authorization[\"']?[ \t]*[:=,][ \t]*[\"']?)?\b(?P<kind>basic|bearer)[ \t]+(?P<v>[A-Za-z0-9+/=._~-]{8,})")
@@ -225,7 +231,7 @@ class Scanner:
             elif self.secret(value, where, before["name"]):
                 add(m, "assigned")
             elif not where or where == "key":
-                for o in OPTION.finditer(value):
+                for o in (LISTED if ";" in value else OPTION).finditer(value):
                     if context(o["name"]) == "secret" and self.secret(o["v"], "secret", o["name"]):
                         out.append((m.start("v") + o.start("v"), m.start("v") + o.end("v"), "option"))
         for m in CALLED.finditer(text):
@@ -253,6 +259,9 @@ class Scanner:
             for m in pattern.finditer(text) if worth else ():
                 if not PLACEHOLDER.match(m["v"]) and self.secret(m["v"].rstrip("."), "secret"):
                     add(m, "login")
+        for m in FALLBACK.finditer(text) if has("env") else ():
+            if context(m["name"]) == "secret" and self.secret(m["v"], "secret", m["name"]):
+                add(m, "fallback")
         for m in QUERY.finditer(text) if "://" in text else ():
             if (context(m["name"]) in ("secret", "key") or m["name"].lower() in ("key", "sig", "signature")) and self.secret(m["v"], "secret", "token"):
                 add(m, "query")
@@ -306,6 +315,7 @@ def dictionary(records: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
     def count(batches):
         seen = Counter()
         for batch in batches:
+            seen[""] += len(batch)
             for text in batch["text"]:
                 seen.update({w.lower() for w in _subword.findall(text)})
             if len(seen) > 200_000:
@@ -314,8 +324,11 @@ def dictionary(records: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
         yield pd.DataFrame(list(seen.items()), columns=["word", "n"]).astype({"word": "object", "n": "int64"})
 
     counted = records.select("text").where("text is not null").mapInPandas(count, "word string, n bigint")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(size)
-    return {r.word: r.n for r in top.collect() if 3 <= len(r.word) <= LONGEST_WORD}
+    # the records themselves are counted under the empty word, which sorts first
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
+    n = {r.word: r.n for r in top}
+    least = LEAST_SHARE * n.pop("", 0)
+    return {w: c for w, c in n.items() if SHORT <= len(w) <= LONGEST_WORD and c >= max(2, least * (5 if len(w) == SHORT else 1))}
 
 
 def credentials(records: DataFrame, size: int = DICTIONARY) -> DataFrame:

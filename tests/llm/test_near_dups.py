@@ -66,3 +66,9 @@ def test_nodes_nulls_repeats_and_empty(spark):
     assert pairs(*N.near_duplicates(records, 0.7, 30)) == {(1, 2)}
     members, links = N.near_duplicates(records.where("false"), 0.7, 30)
     assert members.count() == 0 and links.count() == 0
+
+
+def test_copy_pairs_of_a_large_class(spark):
+    members = spark.createDataFrame([(i, "x") for i in range(60)] + [(100, "y"), (101, "y"), (102, "z")], "id long, class_id string")
+    got = [tuple(r) for r in N.copy_pairs(members, rows=7).collect()]
+    assert len(got) == len(set(got)) == 60 * 59 // 2 + 1 and all(a < b for a, b in got)

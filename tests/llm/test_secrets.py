@@ -64,3 +64,14 @@ def test_records(spark):
     got = {(r.source_table, r.project, r.record_key) for r in S.credentials(df).collect()}
     assert got == {("nodes", "p", "a"), ("files", None, "b")}
     assert S.credentials(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "const o = '{clientSecret: \\'EagerBatch&746\\', retries: 288}';",
+    'let v = std::env::var("DB_PASS").unwrap_or_else(|_| "EagerRouter#6752".into());',
+    "const p = process.env['API_SECRET'] || 'EagerRouter#6752';",
+])
+def test_options_and_fallbacks(text):
+    scanner = S.Scanner(S.Words(WORDS))
+    found = scanner.find(text)
+    assert len(found) == 1 and not scanner.find(S.redacted(text, found))
