@@ -82,7 +82,7 @@ OPTION = re.compile(r"""(?P<name>[A-Za-z_][\w-]*)(?:=|:[ \t]*)(?P<q>\\?["'])?(?P
 #: the same where semicolons separate
 LISTED = re.compile(r"""(?P<name>[A-Za-z_][\w-]*)=(?P<q>\\?["'])?(?P<v>[^;\s"'`\\]+)""")
 #: what is taken where a variable of the environment isn't set
-FALLBACK = re.compile(r"""["'](?P<name>[A-Z][A-Z0-9_]*)["'][ \t]*\)?[ \t]*(?:\.\w+\([ \t]*(?:\|\w*\|[ \t]*)?|\?\?|\|\|)[ \t]*["'](?P<v>[^"'\\\n]+)["']""")
+FALLBACK = re.compile(r"""["'](?P<name>[A-Z][A-Z0-9_]*)["'][ \t]*[\])]?[ \t]*(?:\.\w+\([ \t]*(?:\|\w*\|[ \t]*)?|\?\?|\|\|)[ \t]*["'](?P<v>[^"'\\\n]+)["']""")
 USERINFO = re.compile(r"\b[a-z][a-z0-9+.-]*://(?P<user>[^/\s:@\"'`]*):(?P<v>[^/\s@\"'`]+)@")
 QUERY = re.compile(r"[?&](?P<name>[A-Za-z_-]+)=(?P<v>[^&\s\"'`#]+)")
 HEADER = re.compile(r"(?i)\b(?:authorization[\"']?[ \t]*[:=,][ \t]*[\"']?)?\b(?P<kind>basic|bearer)[ \t]+(?P<v>[A-Za-z0-9+/=._~-]{8,})")
