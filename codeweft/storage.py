@@ -43,3 +43,14 @@ def drop_table(df: DataFrame) -> None:
         if "/codeweft-" in path:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over enough partitions for work that is heavy for each row.
+
+    A scan makes partitions by bytes, which leaves the cores idle when a row of
+    a kilobyte takes milliseconds.
+    """
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
