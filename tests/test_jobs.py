@@ -115,4 +115,4 @@ def test_stream(spark, catalog, tmp_path):
     index_stream(catalog, drop, embed.HashingEmbedder(8), str(tmp_path / "cp")).awaitTermination()
     assert catalog.read("embeddings").count() == 2
     batch = spark.createDataFrame([("p", "2024-01-04 00:00:00"), ("p", "2024-01-05 00:00:00"), ("p", None)], "project string, d string").select("project", F.to_timestamp("d").alias("date"))
-    assert [r.commits for r in commits_per_window(batch).collect()] == [2] or sum(r.commits for r in commits_per_window(batch).collect()) == 2
+    assert sum(r.commits for r in commits_per_window(batch).collect()) == 2
