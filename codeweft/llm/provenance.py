@@ -13,8 +13,9 @@ Measures of each file, from its tokens outside comments and strings:
   other projects.  A third-party copy keeps its upstream's names, while written
   code of a project uses its own.
 
-A banner in the opening comment and a third-party directory are evidence too;
-words that only mention such things, elsewhere or otherwise, are not.
+A banner in the opening or closing comments and a third-party directory are
+evidence too; words that only mention such things, elsewhere or otherwise, are
+not.
 
 The model is counted over all files, in buckets of fixed number.  Foreign names
 are two aggregations by statement, combined before the shuffle; no file is
@@ -55,7 +56,13 @@ _keywords = frozenset(
     finally number boolean null true false this undefined as in of where dyn ref move unsafe extern crate usize i32 u64 f64 u8 u32
     String Option Some None Ok Err""".split()
 )
-# How tools and copies announce themselves in an opening comment.
+_comment = re.compile(r"/\*(.*?)(?:\*/|$)|//([^\n]*)", re.S)
+#: what may stand around the opening comments: marks, include guards, pragmas, inner attributes
+_header = re.compile(
+    r"""(?:[\s\ufeff]+|/\*.*?\*/|//[^\n]*|\#[ \t]*(?:if|ifdef|ifndef|include|pragma|undef)\b[^\n]*|\#[ \t]*define[ \t]+\w+[ \t]*(?=\n|\Z)|\#![^\n]*|pragma\ [^\n;]*;|["']use\ strict["'];?)*+""",
+    re.S | re.X,
+)
+# How tools and copies announce themselves in an opening or closing comment.
 GENERATED = re.compile(
     r"(?i)\b(?:code|file|source|this (?:file|code) (?:was|is|has been)) (?:auto(?:matically)?[- ]?)?(?:generated|created) (?:automatically )?(?:by|from)\b|^\W*@generated\b"
     r"|<auto-generated|\bauto-?generated (?:file|code|by|from)|\bautomatically (?:generated|created) by|^\W*generated (?:by|from|with|using)\b"
@@ -79,16 +86,25 @@ def stem(path: str) -> str:
     return name.rsplit("_", 1)[0] if "_" in name else name
 
 
-def opening(text: str) -> list[str]:
-    """Comment lines among the first eight lines of a file."""
-    head = "\n".join(text.split("\n", 8)[:8])
-    return [x for m in re.finditer(r"/\*(.*?)(?:\*/|$)|//([^\n]*)", head, re.S) for x in (m[1] or m[2] or "").split("\n")]
+def banners(text: str, end: int) -> list[str]:
+    """Lines of the whole opening and closing comments, and of those near the top.
+
+    ``end`` is where the last line of code ends; a comment on that line is a
+    remark on it.  A comment that starts in the first eight lines counts
+    wherever it stands.
+    """
+    head = _header.match(text).end()
+    top = len("\n".join(text.split("\n", 8)[:8]))
+    found = list(_comment.finditer(text, 0, head)) + list(_comment.finditer(text, max(head, end)))
+    if head < top:
+        found += [_comment.match(text, m.start()) for m in _comment.finditer(text, head, top)]
+    return [x for m in found for x in (m[1] or m[2] or "").split("\n")]
 
 
 def measure(path: str, text: str) -> dict:
     """What can be measured in one file without the model."""
     names, shapes, shape = Counter(), Counter(), []
-    literal = total = 0
+    literal = total = end = 0
     numbered = 0
     for m in _token.finditer(text):
         kind, value = m.lastgroup, m.group()
@@ -96,6 +112,8 @@ def measure(path: str, text: str) -> dict:
             continue
         if kind == "line":
             if shape:
+                if shape[:2] != ["#", "endif"]:
+                    end = m.start()
                 shapes[_run.sub("0,", "".join(shape))] += 1
                 shape = []
             continue
@@ -110,6 +128,8 @@ def measure(path: str, text: str) -> dict:
         else:
             shape.append(value)
     if shape:
+        if shape[:2] != ["#", "endif"]:
+            end = len(text)
         shapes[_run.sub("0,", "".join(shape))] += 1
     lines = sum(shapes.values())
     stems = len({re.sub(r"\d+", "#", n) for n in names})
@@ -117,6 +137,7 @@ def measure(path: str, text: str) -> dict:
     return {
         "names": names,
         "size": total,
+        "end": end,
         "lines": lines,
         "longest": max(map(len, text.split("\n"))),
         "literal": literal / max(1, total),
@@ -142,7 +163,7 @@ def verdict(path: str, text: str, m: dict, bits: float) -> tuple[str, float]:
     """("generated" | "minified" | "data" | "vendored" | "", score) without foreign names."""
     if _control.search(text):
         return "", 0.0  # no text at all
-    head = opening(text)
+    head = banners(text, m["end"])
     marked = any(GENERATED.search(x.strip(" *")) for x in head)
     third = any(THIRD_PARTY.search(x.strip(" *!")) for x in head)
     # mangled names: short and surprising, on few long lines or all over the file

@@ -56,3 +56,17 @@ def test_every_file_once_and_empty_table(files):
     out = P.provenance(df)
     assert out.count() == df.where("content is not null").select("project", "file_path").distinct().count()
     assert P.provenance(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("banner, kind", [("Code generated by pgen. DO NOT EDIT.", "generated"), ("Copied from libx 1.2.3 (MIT)", "vendored")])
+def test_banners_after_a_long_licence_and_at_the_end(banner, kind):
+    code = written(random.Random(3), 5)
+    licence = "/*\n" + " * the terms of the licence\n" * 30 + " */\n"
+    verdict = lambda text: P.verdict("src/a_1.c", text, P.measure("src/a_1.c", text), 0.0)[0]
+    for text in (
+        f"{licence}// {banner}\n{code}", f"{licence[:-4]} * {banner}\n */\n{code}", f"{licence}#ifndef A_H\n#define A_H\n// {banner}\n{code}\n#endif\n",
+        f"{code}\n// {banner}\n", f"{code}\n{licence}/* {banner} */", f"#ifndef A_H\n{code}\n// {banner}\n#endif // A_H\n",
+    ):
+        assert verdict(text) == kind
+    for text in (f"{licence}{code}\n// {banner}\n{code}\n", f"{licence}{code}\nconst note = `\n// {banner}\n`;\n", f"{code}\nsettle(); // {banner}\n", f"{licence}{code}\n// keeps the '@generated' mark of what was copied from libx\n"):
+        assert not verdict(text)
