@@ -14,15 +14,18 @@ from codeweft.storage import materialize
 MAX_COMMITS = 500
 
 
-def changed(catalog: Catalog, files: DataFrame) -> DataFrame:
-    """The files whose content is not the one last indexed, with content."""
-    states = incremental.file_states(files, catalog.read("file_hashes")).where("state = 'changed'").drop("state")
+def changed(catalog: Catalog, files: DataFrame, hashes: str) -> DataFrame:
+    """The files whose content is not the one last recorded in the table ``hashes``, with content.
+
+    Indexing (``file_hashes``) and the graph (``graph_hashes``) each keep their own.
+    """
+    states = incremental.file_states(files, catalog.read(hashes)).where("state = 'changed'").drop("state")
     return materialize(files.where("content is not null").select("project", "file_path", "content").dropDuplicates(["project", "file_path"]).join(states, ["project", "file_path"]))
 
 
 def index_files(catalog: Catalog, files: DataFrame, provider: embed.Provider) -> int:
     """Chunk and embed changed files; their hashes are recorded once all is written."""
-    todo = changed(catalog, files)
+    todo = changed(catalog, files, "file_hashes")
     parts = chunks.chunk_files(todo)
     texts = parts.select(
         "project", F.concat(F.lit("chunk_"), "chunk_index").alias("node_name"), "file_path",
@@ -36,11 +39,11 @@ def index_files(catalog: Catalog, files: DataFrame, provider: embed.Provider) ->
 
 def build_graph(catalog: Catalog, files: DataFrame) -> graph.Graph:
     """Extract all changed files; vertices and edges are derived from all current rows."""
-    todo = changed(catalog, files)
+    todo = changed(catalog, files, "graph_hashes")
     nodes = extract.symbols(todo).withColumn("node_id", F.xxhash64("project", "kind", "name", "file_path", "start_line"))
     catalog.replace_files("nodes", todo, nodes)
     catalog.replace_files("raw_relationships", todo, extract.relationships(todo), "source_file_path")
-    catalog.upsert("file_hashes", todo.select("project", "file_path", "hash", F.current_timestamp().alias("last_indexed")))
+    catalog.upsert("graph_hashes", todo.select("project", "file_path", "hash", F.current_timestamp().alias("last_indexed")))
     return project_graph(catalog)
 
 

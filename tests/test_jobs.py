@@ -60,6 +60,24 @@ def test_graph_survives_reindexing_a_callee(spark, catalog):
     assert g.v.where("name = 'b'").first().body.find("2") > 0
 
 
+@pytest.mark.parametrize("first", ["index", "graph"])
+def test_index_and_graph_do_not_hide_changes_from_each_other(spark, catalog, first):
+    provider = embed.HashingEmbedder(8)
+    for text in ("int a(void) {\n  return b();\n}\n", "int a(void) {\n  return 2 + b();\n}\n"):
+        files = spark.createDataFrame([("p", "a.c", text, None), ("p", "b.c", "int b(void) {\n  return 1;\n}\n", None)], FILES)
+        if first == "index":
+            assert jobs.index_files(catalog, files, provider) > 0
+        g = jobs.build_graph(catalog, files)
+        assert [(r.of, r.name) for r in g.callers().collect()] == [("b", "a")]
+        assert g.v.where("name = 'a'").first().body.strip() == text.strip()
+        if first == "graph":
+            assert jobs.index_files(catalog, files, provider) > 0
+        assert {r.content.strip() for r in catalog.read("chunks").where("file_path = 'a.c'").collect()} == {text.strip()}
+        assert jobs.index_files(catalog, files, provider) == 0
+    assert jobs.delete_project(catalog, "p", force=True)["graph_hashes"] == 2
+    assert jobs.build_graph(catalog, files).v.count() == 2
+
+
 def test_upserts(spark):
     schema = "project string, commit_hash string, author string, message string"
     old = spark.createDataFrame([("p", "1", "ann", "old"), ("p", "2", None, "two")], schema)
