@@ -75,6 +75,7 @@ NAMED = re.compile(
 )
 PLAIN = re.compile(r"^[a-z]*(?:[ _-][a-z]+)*$")
 CALLED = re.compile(r"""\((?P<args>[^()\n"']*["'][^()\n]*)\)""")
+ENCODER = re.compile(r"(?i)atob|base64")
 CALLEE = re.compile(r"[A-Za-z_$][\w.$]*!?$")
 ARGUMENT = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
 UNQUOTED = re.compile(r"^[+\- \t]*(?:export[ \t]+|ENV[ \t]+|-[ \t]+|(?://|#)[ \t]*)?(?P<name>[A-Za-z][\w.-]*)[ \t]*[=:][ \t]*(?P<v>[^\s\"'`;,(){}\[\]<>]{6,})[ \t]*\r?$", re.M)
@@ -90,10 +91,13 @@ KEY_HEADER = re.compile(r"(?i)\bx-[a-z-]*(?:key|token|secret)[\"']?[ \t]*[:=,][
 CURL_USER = re.compile(r"""(?:-u|--user)[ =]["']?(?P<user>[^\s:"']+):(?P<v>[^\s"']+)""")
 PRIVATE = re.compile(r"-----BEGIN (?P<kind>[A-Z ]*)PRIVATE KEY(?: BLOCK)?-----(?P<v>(?:\\n|[\s+A-Za-z0-9/=\"',-])*?)(?=-----END|$|[^\\\sA-Za-z0-9+/=\"',-])")
 LOGIN_NOTE = re.compile(r"(?i)\b(?:login|creds?|credentials?|account|password|pass|pwd)\b[^\n]{0,24}?(?::|->|=|is)[ \t]*(?P<user>[\w.@-]+)[ \t]*(?:/|\|)[ \t]*(?P<v>[^\s,;\"'`]+)")
-WALLET = re.compile(r"\b0x[0-9a-f]{64}\b")
+WALLET = re.compile(r"(?i)\b0x[0-9a-f]{64}\b")
 NOTED = re.compile(r"(?i)\b(?:private key|wallet key|signing key|secret key|signer pk|pk|priv(?:ate)?key|mnemonic|seed)\b[^\n]{0,40}$")
 FORM = re.compile(r"(?i)\b(?:password|passwd|secret|token|api_?key)=(?P<v>[^&\s\"'`;,)}]{6,})")
 
+#: a name with the context "secret" holds one of these; none holds another
+NAME_PARTS = [p for p in sorted(SECRET_NAMES | {"key"}) if not any(q in p for q in (SECRET_NAMES | {"key"}) - {p})]
+
 
 class Words:
     """Viterbi segmentation by a dictionary."""
@@ -196,6 +200,10 @@ class Scanner:
         # a longer run, or one of base64 signs, is more likely data than a token
         return bool(TOKEN_LIKE.match(value)) and rest >= 16 and _classes(value) == 3 and rest >= 0.6 * len(value)
 
+    def plain(self, value: str) -> bool:
+        """Whether :meth:`secret` rejects a literal in every context, being known words alone."""
+        return bool(PLAIN.match(value)) and value.count(" ") < 11 and self.words.residual(value) < 3 and ":" not in (decoded(value) or "")
+
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of each credential, in order and without overlaps."""
         if not text:
@@ -204,6 +212,7 @@ class Scanner:
         add = lambda m, kind, g="v": out.append((*m.span(g), kind))
         lower = text.lower()
         has = lambda *parts: any(p in lower for p in parts)
+        encoder, secret_name = has("atob", "base64"), has(*NAME_PARTS)
         for m in PRIVATE.finditer(text) if "PRIVATE KEY" in text else ():
             if len(re.sub(r"\\n|\W", "", m["v"])) >= 24:
                 add(m, "private key")
@@ -212,7 +221,7 @@ class Scanner:
                 add(m, "token", 0)
         for m in ASSIGNED.finditer(text):
             value, more = m["v"], m["more"]
-            if len(value) < 6 or (not more and PLAIN.match(value) and value.count(" ") < 11):
+            if not more and (len(value) < 6 or (not (encoder and ENCODER.search(m["call"])) and self.plain(value))):
                 continue
             before = NAMED.search(text, max(0, m.start() - 100, text.rfind("\n", 0, m.start()) + 1), m.start())
             if before is None:
@@ -226,7 +235,7 @@ class Scanner:
                 if joined and self.secret(value + parts, where, before["name"]):
                     out.append((m.start("v"), m.end("more") - 1, "split literal"))
                     continue
-            if re.search(r"(?i)atob|base64", m["call"]) and (t := decoded(value)) and self.secret(t.split(":", 1)[-1], "secret"):
+            if encoder and ENCODER.search(m["call"]) and (t := decoded(value)) and self.secret(t.split(":", 1)[-1], "secret"):
                 add(m, "encoded")
             elif self.secret(value, where, before["name"]):
                 add(m, "assigned")
@@ -237,42 +246,40 @@ class Scanner:
         for m in CALLED.finditer(text):
             args = [(a, a[2]) for a in ARGUMENT.finditer(m["args"])]
             base, last = m.start("args"), args[-1][1] if args else ""
-            if len(last) < 6 or PLAIN.match(last):
-                continue
-            callee = CALLEE.search(text, max(0, m.start() - 60), m.start())
-            if re.search(r"(?i)atob|base64", (callee.group() if callee else "") + m["args"]):
+            callee = CALLEE.search(text, max(0, m.start() - 60), m.start()) if encoder else None
+            if encoder and ENCODER.search((callee.group() if callee else "") + m["args"]):
                 for a, v in args:
                     t = decoded(v)
                     if t and ":" in t and self.secret(t.split(":", 1)[1], "secret"):
                         out.append((base + a.start(2), base + a.end(2), "encoded"))
-            if len(args) >= 2:
+            if len(args) >= 2 and len(last) >= 6 and not self.plain(last):
                 first = args[-2][1]
                 host = len(args) >= 3 and re.fullmatch(r"[\w-]+(?:\.[\w-]+)+(?::\d+)?|localhost", args[0][1])
                 named = context(first) == "secret"
                 if (host and self.secret(last, "secret")) or (named and self.secret(last, "secret", first)):
                     out.append((base + args[-1][0].start(2), base + args[-1][0].end(2), "argument"))
-        for m in UNQUOTED.finditer(text) if has("pass", "pwd", "secret", "token", "key", "auth", "cred", "login") else ():
+        for m in UNQUOTED.finditer(text) if secret_name else ():
             if context(m["name"]) == "secret" and not re.fullmatch(r"[\w.]*[A-Za-z_.]\w*", m["v"]) and self.secret(m["v"], "secret", m["name"]):
                 add(m, "setting")
-        logins = [(USERINFO, "://" in text), (CURL_USER, "curl" in lower), (LOGIN_NOTE, has("login", "cred", "account", "pass", "pwd"))]
+        logins = [(USERINFO, "://" in text), (CURL_USER, "-u" in text), (LOGIN_NOTE, has("login", "cred", "account", "pass", "pwd"))]
         for pattern, worth in logins:
             for m in pattern.finditer(text) if worth else ():
                 if not PLACEHOLDER.match(m["v"]) and self.secret(m["v"].rstrip("."), "secret"):
                     add(m, "login")
-        for m in FALLBACK.finditer(text) if has("env") else ():
+        for m in FALLBACK.finditer(text) if secret_name else ():
             if context(m["name"]) == "secret" and self.secret(m["v"], "secret", m["name"]):
                 add(m, "fallback")
-        for m in QUERY.finditer(text) if "://" in text else ():
+        for m in QUERY.finditer(text) if "=" in text else ():
             if (context(m["name"]) in ("secret", "key") or m["name"].lower() in ("key", "sig", "signature")) and self.secret(m["v"], "secret", "token"):
                 add(m, "query")
         for m in FORM.finditer(text) if has("password=", "passwd=", "secret=", "token=", "key=") else ():
             if self.secret(m["v"], "secret"):
                 add(m, "form")
-        for m in HEADER.finditer(text) if has("basic ", "bearer ") else ():
+        for m in HEADER.finditer(text) if has("basic", "bearer") else ():
             t = decoded(m["v"])
             if (t and ":" in t) if m["kind"].lower() == "basic" else self.words.residual(m["v"]) >= 12:
                 add(m, "header")
-        for m in KEY_HEADER.finditer(text) if has("-key", "-token", "-secret") else ():
+        for m in KEY_HEADER.finditer(text) if has("x-") else ():
             if self.words.residual(m["v"]) >= 10 and not PLACEHOLDER.match(m["v"]):
                 add(m, "header")
         for m in WALLET.finditer(text) if "0x" in text else ():

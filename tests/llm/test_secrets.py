@@ -75,3 +75,20 @@ def test_options_and_fallbacks(text):
     scanner = S.Scanner(S.Words(WORDS))
     found = scanner.find(text)
     assert len(found) == 1 and not scanner.find(S.redacted(text, found))
+
+
+@pytest.mark.parametrize("text", [
+    "const batchPassword = 'zqxjkvbwpt';", "openBatch('db.test', 'password', 'zqxjkvbwpt');", f"send(decodeBase64('{B64}', 'utf8'));", f"const l = Buffer.from('{B64}', 'base64');",
+    "fetch('/a?access_token=c8A1vKo273yLdRp6HbY14Jtc5rUCMvSl');", "+DB_PW=5hA%v3bS+sR7TcFN", "+DEPLOY_PK=5hA%v3bS+sR7TcFN", "const batchSecret = 'aM*M' +\n  'R8xUPLL7Vdw';",
+    "// http --user svc-batch:T8c71oNswCvKw2 a.example/x", "const p = conf['DB_PASS'] ?? 'EagerRouter#6752';", "h = 'Bearer\teSGZifIoSj3Sn16lBWfMw0kDJFaZHV2RsoD'",
+    "// X-ApiKey: c5073ebc71ef438f9865d0dea9027739", "// deployer private key 0x" + "9E" * 32,
+])
+def test_no_filter_hides_a_credential(text):
+    scanner = S.Scanner(S.Words(WORDS))
+    found = scanner.find(text)
+    assert len(found) == 1 and not scanner.find(S.redacted(text, found))
+
+
+@pytest.mark.parametrize("text", ["const batchPassword = 'eager-ledger';", "openBatch('db.test', 'password', 'eager router');", "f('/a?page_token=stale-parser');", "decodeBase64('ledger', 'utf8');", "docker run -u 1000:1000 batch"])
+def test_plain_words_are_none(text):
+    assert S.Scanner(S.Words(WORDS)).find(text) == []
