@@ -5,7 +5,8 @@ ASCII) is either clean or was written in one encoding and read in another, once
 or twice: the latent *chain*.  Clean spans follow a character trigram model; a
 span under a chain has the probability of what the chain's inverse gives.
 A garbled stretch is a run of spans; its evidence is the best sum of log
-ratios over consecutive spans.  The prior of each chain is kept per field
+ratios over consecutive spans.  A record has as many stretches, of as many
+chains, as have evidence of their own.  The prior of each chain is kept per field
 (documents.source), so weak evidence is pooled across the records of a source.
 
 Expectation-maximization.  E: posterior of each record's chain.  M: the clean
@@ -14,14 +15,15 @@ priors of each source are averaged.  Each round is one Spark job over the
 spans; what the driver keeps is of fixed size: ``ngrams.BUCKETS`` n-gram counts and
 ``FIELDS`` x chains priors (sources are hashed to FIELDS groups).
 
-U+FFFD stands for bytes that could not be decoded; such a stretch is garbled
-and cannot be restored.
+U+FFFD stands for bytes that could not be decoded; such a span is garbled and
+cannot be restored, but the other stretches of its record are.
 
 Null, blank and ASCII texts are clean.  Repeated rows of one doc_id count once.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -175,25 +177,102 @@ def _best_run(scores: list[float]) -> tuple[float, int, int]:
     return best, *at
 
 
-def judge(spans: list[str], model: Clean, prior: np.ndarray):
-    """(posterior that a stretch is garbled, best chain, first span, end span)."""
+def _runs(hits: dict[int, float]) -> list[tuple[float, int, int]]:
+    """All maximal runs (sum, first, end) of spans, each without ``hits`` counting -2 (Ruzzo-Tompa)."""
+    out, stack, total, last = [], [], 0.0, None
+    for i in sorted(hits):
+        if last is not None:
+            total -= 2.0 * (i - last - 1)
+        last, low = i, total
+        total += hits[i]
+        first = i
+        while True:
+            j = len(stack) - 1
+            while j >= 0 and stack[j][0] >= low:
+                j -= 1
+            if j < 0:  # no later run can be joined to those before
+                out += stack
+                stack = [(low, total, first, i + 1)]
+                break
+            if stack[j][1] >= total:
+                stack.append((low, total, first, i + 1))
+                break
+            low, first = stack[j][0], stack[j][2]
+            del stack[j:]
+    return [(high - low, a, b) for low, high, a, b in out + stack]
+
+
+def _stretches(evidence: dict[int, dict[int, float]], prior: np.ndarray, sure: bool) -> list[tuple[int, int, int]]:
+    """Disjoint stretches (chain, first span, end span) of one record, in order.
+
+    The likeliest comes first (``sure``: it is taken anyway) and takes its spans
+    from the others.  Each needs evidence that outweighs its chain's prior, or
+    ``LEAST_EVIDENCE`` once the record is known to be garbled by that chain.
+    """
+    heap, kept, late = [], [], []
+
+    def push(k, hits):
+        for score, a, b in _runs(hits):
+            if score >= LEAST_EVIDENCE:
+                heapq.heappush(heap, (-score - math.log(prior[k]), -k, a, b))
+
+    for k, hits in evidence.items():
+        if k != LOSSY:
+            push(k, hits)
+    owner: dict[int, int] = {}
+    while heap or late:
+        if not heap:
+            known = set(owner.values())
+            heap = [x for x in late if -x[1] in known]
+            if not heap:
+                break
+            late = [x for x in late if -x[1] not in known]
+            heapq.heapify(heap)
+        cost, k, a, b = heapq.heappop(heap)
+        k = -k
+        free = [i for i in range(a, b) if i not in owner]
+        if len(free) < b - a:
+            part: dict[int, float] = {}
+            for n, i in enumerate(free):
+                if n and i > free[n - 1] + 1:
+                    push(k, part)
+                    part = {}
+                if i in evidence[k]:
+                    part[i] = evidence[k][i]
+            push(k, part)
+        elif cost <= 0 or (sure and not kept) or k in owner.values():
+            kept.append((k, a, b))
+            owner |= dict.fromkeys(range(a, b), k)
+        else:
+            late.append((cost, -k, a, b))
+    lost = sorted(evidence.get(LOSSY, ()))
+    for i in lost:
+        if kept and kept[-1][0] == LOSSY and kept[-1][2] == i:
+            kept[-1] = (LOSSY, kept[-1][1], i + 1)
+        else:
+            kept.append((LOSSY, i, i + 1))
+    return sorted(kept, key=lambda x: (x[1], x[0]))
+
+
+def judge(spans: list[str], model: Clean, prior: np.ndarray, least: float = 0.01):
+    """(posterior that a stretch is garbled, its stretches if that is above ``least``)."""
     evidence: dict[int, dict[int, float]] = {}
     for i, span in enumerate(spans):
         for k, ratio in model.evidence[span]:
             evidence.setdefault(k, {})[i] = ratio
     if not evidence:
-        return 0.0, -1, 0, 0
+        return 0.0, []
     logs = []
     for k, hits in evidence.items():
         low, high = min(hits), max(hits) + 1
-        best, a, b = _best_run([hits.get(i, -2.0) for i in range(low, high)])
+        best = _best_run([hits.get(i, -2.0) for i in range(low, high)])[0]
         if best >= LEAST_EVIDENCE:
-            logs.append((best + math.log(prior[k]), k, a + low, b + low))
+            logs.append((best + math.log(prior[k]), k))
     if not logs:
-        return 0.0, -1, 0, 0
-    top = max(logs)
+        return 0.0, []
     odds = sum(math.exp(min(x[0], 300)) for x in logs)
-    return odds / (1 + odds), top[1], top[2], top[3]
+    p = odds / (1 + odds)
+    return p, _stretches(evidence, prior, max(logs)[1] != LOSSY) if p >= least else []
 
 
 def _field(source) -> int:
@@ -230,12 +309,12 @@ def _counted(rows: DataFrame, state) -> tuple[np.ndarray, np.ndarray, np.ndarray
             away = Counter()
             for source, own in zip(batch["source"], spans):
                 field = _field(source)
-                p, k, a, b = judge(own, model, prior[field])
+                p, found = judge(own, model, prior[field])
                 records[field] += 1
-                if k >= 0 and p > 0.01:
+                for k in {k for k, _, _ in found}:
                     chains[field * width + k] += p
-                    if p > 0.5:
-                        away.subtract(s for s in own[a:b] if LOST not in s)
+                if p > 0.5:
+                    away.subtract(s for k, a, b in found for s in own[a:b] if LOST not in s)
             ngrams.add(sums, away)
         for kind, x in enumerate((sums, chains, records)):
             at = np.flatnonzero(x)
@@ -250,10 +329,9 @@ def _counted(rows: DataFrame, state) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def garbled(documents: DataFrame, rounds: int = ROUNDS, least: float = 0.5) -> DataFrame:
-    """Rows of ``documents`` with a garbled stretch: doc_id, chain, posterior, repaired.
+    """Rows of ``documents`` with a garbled stretch: doc_id, posterior, stretches.
 
-    ``repaired`` is the text with the stretch restored, null where bytes were
-    lost.  Only records with a posterior of at least ``least`` come out.
+    A stretch has a chain ``k`` and the spans from ``a`` to before ``b``.  Only records with a posterior of at least ``least`` come out.
     """
     spark = documents.sparkSession
     rows = materialize(span_table(documents.select("doc_id", "text", "source")))
@@ -273,36 +351,40 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least: float = 0.5) -> D
             out, all_spans = [], [list(x) for x in batch["spans"]]
             model.weigh({s for x in all_spans for s in x})
             for doc, source, spans in zip(batch["doc_id"], batch["source"], all_spans):
-                p, k, a, b = judge(spans, model, state.value[1][_field(source)])
+                p, found = judge(spans, model, state.value[1][_field(source)], least)
                 if p >= least:
-                    out.append((doc, p, k, a, b))
-            yield pd.DataFrame(out, columns=["doc_id", "posterior", "k", "a", "b"])
+                    out.append((doc, p, [{"k": k, "a": a, "b": b} for k, a, b in found]))
+            yield pd.DataFrame(out, columns=["doc_id", "posterior", "stretches"])
 
-    found = rows.mapInPandas(judged, "doc_id bigint, posterior double, k int, a int, b int")
+    found = rows.mapInPandas(judged, "doc_id bigint, posterior double, stretches array<struct<k: int, a: int, b: int>>")
     return found.dropDuplicates(["doc_id"])
 
 
+def restore(text: str, stretches) -> str | None:
+    """``text`` with every stretch undone that has not lost bytes; null if all have."""
+    owner = {i: x["k"] for x in stretches if x["k"] != LOSSY for i in range(x["a"], x["b"])}
+    if not owner:
+        return None
+    at = [0]
+
+    def swap(m):
+        i, at[0] = at[0], at[0] + 1
+        return dict(originals(m.group())).get(owner[i], m.group()) if i in owner else m.group()
+
+    return _span.sub(swap, text)
+
+
 def repaired(documents: DataFrame, **kwargs) -> DataFrame:
-    """:func:`garbled` with the chain's name and the restored text."""
+    """:func:`garbled` with the names of the chains, in their order in the text, and the restored text."""
     found = garbled(documents, **kwargs)
     texts = documents.select("doc_id", "text").where("text is not null").dropDuplicates(["doc_id"]).join(found, "doc_id")
 
-    def restore(batches):
+    def run(batches):
         for batch in batches:
             out = []
-            for doc, text, p, k, a, b in zip(*(batch[c] for c in ("doc_id", "text", "posterior", "k", "a", "b"))):
-                if k == LOSSY:
-                    fixed = None
-                else:
-                    at = [0]
-
-                    def swap(m, k=k, a=a, b=b, at=at):
-                        i, at[0] = at[0], at[0] + 1
-                        found = dict(originals(m.group())) if a <= i < b else {}
-                        return found.get(k, m.group())
-
-                    fixed = _span.sub(swap, text)
-                out.append((doc, CHAIN_NAMES[k], p, fixed))
+            for doc, text, p, stretches in zip(*(batch[c] for c in ("doc_id", "text", "posterior", "stretches"))):
+                chains = "; ".join(dict.fromkeys(CHAIN_NAMES[x["k"]] for x in stretches))
+                out.append((doc, chains, p, restore(text, stretches)))
             yield pd.DataFrame(out, columns=["doc_id", "chain", "posterior", "repaired"])
 
-    return texts.mapInPandas(restore, "doc_id bigint, chain string, posterior double, repaired string")
+    return texts.mapInPandas(run, "doc_id bigint, chain string, posterior double, repaired string")

@@ -51,3 +51,30 @@ def test_undo_inverts_every_single_byte_chain():
             except UnicodeError:
                 continue
             assert E.undo(seen, k) == text
+
+
+def test_every_stretch_is_restored(spark, corpus):
+    df, _ = corpus
+    garble = lambda t, read: t.encode().decode(read)
+    clean = " ".join(WORDS[i % 9] for i in range(40))
+    first, second = "über größer prüfung schlüssel", "einträge café déjà modèle"
+    rows = [
+        (3000, f"{garble(first, 'cp1252')} {clean} {garble(second, 'cp1252')}", "a", None, None),
+        (3001, f"{garble(first, 'cp1252')} {clean} {garble(second, 'cp437')}", "a", None, None),
+        (3002, f"gr\ufffd\ufffder {clean} {garble(second, 'cp1252')} f\ufffdr", "a", None, None),
+    ]
+    got = {r.doc_id: r for r in E.repaired(df.unionByName(documents(spark, rows))).where("doc_id >= 3000").collect()}
+    assert got[3000].repaired == got[3001].repaired == f"{first} {clean} {second}"
+    assert got[3000].chain == "utf-8 read as cp1252" and got[3001].chain == "utf-8 read as cp1252; utf-8 read as cp437"
+    assert got[3002].repaired == f"gr\ufffd\ufffder {clean} {second} f\ufffdr" and "lost bytes" in got[3002].chain
+
+
+def test_runs_are_maximal_and_disjoint():
+    assert E._runs({0: 6.0, 1: 6.0, 30: 7.0, 31: 1.5}) == [(12.0, 0, 2), (8.5, 30, 32)]
+    assert E._runs({0: 6.0, 2: 6.0}) == [(10.0, 0, 3)]
+    rng = random.Random(4)
+    for _ in range(300):
+        hits = {i: rng.uniform(1, 9) for i in rng.sample(range(60), 12)}
+        runs = E._runs(hits)
+        assert abs(max(runs)[0] - E._best_run([hits.get(i, -2.0) for i in range(60)])[0]) < 1e-9
+        assert all(a[2] <= b[1] for a, b in zip(runs, runs[1:])) and set(hits) == {i for _, a, b in runs for i in range(a, b)} & set(hits)
