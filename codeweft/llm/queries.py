@@ -74,8 +74,8 @@ def p6_found(spark, sf):
 
 
 def p6_classes(spark, sf):
-    """Each node with enough tokens, its class of equal sets and the class's links (similarity >= 0.8)."""
-    members, links = _near_nodes(spark, sf, threshold=0.8)
+    """Each node with enough tokens, its class of equal sets and the class's links (similarity >= 0.7)."""
+    members, links = _near_nodes(spark, sf)
     ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id"))
     counts = ends.groupBy("class_id").agg(F.count("*").alias("links"))
     return members.join(counts, "class_id", "left").select(

@@ -72,3 +72,15 @@ def test_copy_pairs_of_a_large_class(spark):
     members = spark.createDataFrame([(i, "x") for i in range(60)] + [(100, "y"), (101, "y"), (102, "z")], "id long, class_id string")
     got = [tuple(r) for r in N.copy_pairs(members, rows=7).collect()]
     assert len(got) == len(set(got)) == 60 * 59 // 2 + 1 and all(a < b for a, b in got)
+
+
+def test_classes_count_links_of_the_threshold_of_the_pairs(spark, tmp_path):
+    from codeweft.llm import queries
+
+    words = [f"w{i}" for i in range(40)]
+    other = [w + "x" if i in (10, 25) else w for i, w in enumerate(words)]  # 32 of 44 runs in common
+    rows = [(i, "function", None, " ".join(w)) for i, w in enumerate((words, words, other))]
+    spark.createDataFrame(rows, "node_id long, kind string, signature string, body string").write.parquet(str(tmp_path / "nodes.parquet"))
+    got = {r.node_id: r.links for r in queries.p6_classes(spark, str(tmp_path)).collect()}
+    assert got == {0: 1, 1: 1, 2: 1}
+    assert {tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()} == {(0, 1), (0, 2), (1, 2)}
