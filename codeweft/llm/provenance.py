@@ -9,15 +9,14 @@ Measures of each file, from its tokens outside comments and strings:
   and distinct names (numbers blanked) in proportion to their number.  Output of
   a template repeats few of either.
 - *literal share*: how much of the text is numbers and strings.
-- *foreign names*: statements that also occur, in a file of the same name, in
-  other projects.  A third-party copy keeps its upstream's names, while written
-  code of a project uses its own.
+- *foreign statements*: whole normalised lines that also occur, in a file of the
+  same stem, in other projects.  Naming style is not compared.
 
 A banner in the opening or closing comments and a third-party directory are
 evidence too; words that only mention such things, elsewhere or otherwise, are
 not.
 
-The model is counted over all files, in buckets of fixed number.  Foreign names
+The model is counted over all files, in buckets of fixed number.  Foreign statements
 are two aggregations by statement, combined before the shuffle; no file is
 compared with another.
 
