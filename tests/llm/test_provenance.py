@@ -58,15 +58,58 @@ def test_every_file_once_and_empty_table(files):
     assert P.provenance(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("banner, kind", [("Code generated by pgen. DO NOT EDIT.", "generated"), ("Copied from libx 1.2.3 (MIT)", "vendored")])
-def test_banners_after_a_long_licence_and_at_the_end(banner, kind):
+@pytest.mark.parametrize("banner, found", [("Code generated by pgen. DO NOT EDIT.", (True, False)), ("Copied from libx 1.2.3 (MIT)", (False, True))])
+def test_banners_after_a_long_licence_and_at_the_end(banner, found):
     code = written(random.Random(3), 5)
     licence = "/*\n" + " * the terms of the licence\n" * 30 + " */\n"
-    verdict = lambda text: P.verdict("src/a_1.c", text, P.measure("src/a_1.c", text), 0.0)[0]
+    said = lambda text: P.announced("src/a_1.c", text, P.measure(text)["end"])
     for text in (
         f"{licence}// {banner}\n{code}", f"{licence[:-4]} * {banner}\n */\n{code}", f"{licence}#ifndef A_H\n#define A_H\n// {banner}\n{code}\n#endif\n",
         f"{code}\n// {banner}\n", f"{code}\n{licence}/* {banner} */", f"#ifndef A_H\n{code}\n// {banner}\n#endif // A_H\n",
     ):
-        assert verdict(text) == kind
+        assert said(text) == found
     for text in (f"{licence}{code}\n// {banner}\n{code}\n", f"{licence}{code}\nconst note = `\n// {banner}\n`;\n", f"{code}\nsettle(); // {banner}\n", f"{licence}{code}\n// keeps the '@generated' mark of what was copied from libx\n"):
-        assert not verdict(text)
+        assert said(text) == (False, False)
+
+
+def kinds(df):
+    return {(r.project, r.file_path): r.kind for r in P.provenance(df).collect()}
+
+
+def test_cross_entropy_decides_what_is_minified(files, monkeypatch):
+    df, _ = files
+    assert kinds(df)["p1", "www/a_1.js"] == "minified"
+    monkeypatch.setattr(P, "surprise", lambda counts, names, salt: (2.5, 25.0))
+    assert "minified" not in kinds(df).values()
+
+
+def test_scrambled_names_of_any_length_are_mangled(files, spark):
+    df, _ = files
+    rng = random.Random(4)
+    scrambled = lambda: "_0x" + "".join(rng.choice("0123456789abcdef") for _ in range(6))
+    text = "".join(f"var {scrambled()}={scrambled()}({scrambled()},{scrambled()});" for _ in range(60))
+    # dense lines alone, or written names on dense lines, are no case
+    dense = " ".join(written(rng, 20).replace("//", "").split("\n"))
+    more = spark.createDataFrame([("p2", "www/s_1.ts", text, "h", 1), ("p2", "www/w_1.ts", dense, "h", 1)], df.schema)
+    got = kinds(df.unionByName(more))
+    assert got["p2", "www/s_1.ts"] == "minified" and got["p2", "www/w_1.ts"] is None
+
+
+def test_foreign_style_lowers_the_share_that_makes_a_copy(files, spark):
+    df, _ = files
+    rng = random.Random(5)
+    snake = lambda: "_".join(rng.choice(WORDS) for _ in range(3))
+    lines = lambda: [f"const {snake()} = {snake()}({snake()}, {snake()});" for _ in range(10)]
+    shared = lines()
+    # four of ten statements are shared: a copy only where its names are foreign to the project
+    rows = [(p, f"lib/borrowed_{i}.ts", "\n".join(shared[:4] + lines()[:6]), "h", 1) for i, p in enumerate(["p1", "own"])]
+    rows += [("own", f"src/own_{i}.ts", "\n".join(lines()), "h", 1) for i in range(4)]
+    got = kinds(df.unionByName(spark.createDataFrame(rows, df.schema)))
+    assert got["p1", "lib/borrowed_0.ts"] == "vendored" and got["own", "lib/borrowed_1.ts"] is None
+
+
+def test_null_project_and_repeated_rows(spark):
+    text = written(random.Random(6), 5)
+    df = spark.createDataFrame([(None, "vendor/x/a.ts", text)] * 2 + [("", None, text), ("p", "noext", text)], "project string, file_path string, content string")
+    got = [(r.project, r.file_path, r.kind) for r in P.provenance(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, "vendor/x/a.ts", "vendored"), ("p", "noext", None)], key=str)
