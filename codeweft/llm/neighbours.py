@@ -8,10 +8,14 @@ for neighbours in the ``PROBES`` nearest ones.  In a list the columns are read
 in blocks; after each block a hypothesis test on the partial distance abandons
 the candidates that can hardly come within the current k-th distance.
 
-Bounds.  The codebook is fitted on at most ``SAMPLE`` vectors and has at most
-SAMPLE / 64 lists, which bounds the only thing broadcast (4 MB for 64 numbers);
-every row is indexed.  A list may hold any share of the rows: it is cut into
-member blocks and query blocks, and a pair of blocks is the unit of work.
+Bounds.  The first ``COARSE`` centres are fitted on at most ``SAMPLE`` vectors.
+Where the rows need more lists, each coarse cell is divided by centres fitted in
+it, on at most ``CELL_SAMPLE`` rows a centre, as a Spark job; lists then hold
+``FINE_ROWS`` rows on average, so that work and shuffle follow the rows.  What is
+broadcast are the centres, ``MOST_LISTS`` at most (64 MB for 64 numbers), which
+is a billion rows; beyond that lists grow.  Every row is indexed.  A list may
+hold any share of the rows: it is cut into member blocks and query blocks, and a
+pair of blocks is the unit of work.
 Exact copies are searched once, by a representative; a class of copies keeps
 its k + 1 least keys, which is all a result can need.
 
@@ -26,15 +30,16 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm.units import edges, whole_units
 from codeweft.storage import materialize
 
 SAMPLE = 65_536
-LIST_ROWS = 500
-PROBES = 4
+LIST_ROWS, FINE_ROWS = 500, 4000
+COARSE, MOST_LISTS, CELL_SAMPLE = 1024, 1 << 18, 64
+PROBES, CELLS_PROBED = 4, 8
 MEMBERS, QUERIES = 4096, 16_384
 COLUMNS = (0, 16, 32, 64)
 EPSILON = 2.1
@@ -188,22 +193,89 @@ def scan(queries: np.ndarray, members: np.ndarray, own: np.ndarray, k: int, colu
     return best_d, best_i
 
 
-def nearest(classes: DataFrame, dim: int, k: int, probes: int = PROBES, list_rows: int = LIST_ROWS) -> DataFrame:
+class Codebook:
+    """Coarse centres, each with the fine centres of its cell; a list is a fine centre."""
+
+    def __init__(self, coarse: np.ndarray, fine: dict[int, np.ndarray]):
+        self.coarse = coarse
+        cells = [fine.get(c, coarse[c : c + 1]) for c in range(len(coarse))]
+        self.starts = np.cumsum([0, *map(len, cells)])
+        self.centres = np.concatenate(cells)
+
+    def __len__(self) -> int:
+        return len(self.centres)
+
+    def probed(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The nearest lists of each vector, the nearest first, -1 where there are fewer."""
+        p = min(probes, len(self))
+        if len(self) == len(self.coarse):
+            score = x @ self.centres.T
+            near = np.argpartition(-score, p - 1, axis=1)[:, :p]
+            return np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, axis=1), axis=1, kind="stable"), axis=1)
+        score = x @ self.coarse.T
+        c = min(CELLS_PROBED, len(self.coarse))
+        cells = np.argpartition(-score, c - 1, axis=1)[:, :c]
+        order = np.argsort(cells, axis=None, kind="stable")
+        cell, row = cells.ravel()[order], order // c
+        rows, lists, scores = [], [], []
+        for lo, hi in zip((cut := edges([cell]))[:-1], cut[1:]):
+            a, b = self.starts[cell[lo]], self.starts[cell[lo] + 1]
+            own = x[row[lo:hi]] @ self.centres[a:b].T
+            k = min(p, b - a)
+            best = np.argpartition(-own, k - 1, axis=1)[:, :k]
+            rows.append(np.repeat(row[lo:hi], k))
+            lists.append(a + best.ravel())
+            scores.append(np.take_along_axis(own, best, axis=1).ravel())
+        rows, lists, scores = map(np.concatenate, (rows, lists, scores))
+        order = np.lexsort((lists, -scores, rows))
+        rows, lists = rows[order], lists[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        out = np.full((len(x), p), -1)
+        out[rows[rank < p], rank[rank < p]] = lists[rank < p]
+        return out
+
+
+def fine_centres(classes: DataFrame, coarse: np.ndarray, lists: int, n: int, dim: int) -> dict[int, np.ndarray]:
+    """Centres of each coarse cell, in proportion to its rows; fitted by Spark, cell by cell."""
+    shared = classes.sparkSession.sparkContext.broadcast(coarse)
+    step = max(1, n // (lists * CELL_SAMPLE))
+
+    def assign(batches):
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"cell": np.argmax(_floats(batch["vec"], dim) @ shared.value.T, axis=1).astype(np.int32), "id": batch["id"], "vec": batch["vec"]})
+
+    picked = classes.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(step)) == 0).mapInPandas(assign, "cell int, id bigint, vec binary")
+    most = 16 * CELL_SAMPLE * -(-lists // len(coarse))  # no cell's sample outgrows a task
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id"))
+    whole = picked.groupBy("cell").agg(F.count("*").alias("rows"))
+    bounded = picked.withColumn("rank", rank).where(F.col("rank") <= most).join(F.broadcast(whole), "cell")
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        k = max(1, min(len(group) // 8, round(group["rows"].iloc[0] / CELL_SAMPLE)))
+        centres = codebook(_floats(group["vec"], dim), k)
+        return pd.DataFrame({"cell": group["cell"].iloc[0], "centre": [c.tobytes() for c in centres]})
+
+    found = bounded.groupBy("cell").applyInPandas(fit, "cell int, centre binary").toPandas()
+    return {int(c): np.stack([np.frombuffer(x, dtype=np.float32) for x in g["centre"]]) for c, g in found.groupby("cell")}
+
+
+def nearest(classes: DataFrame, dim: int, k: int, probes: int = PROBES, list_rows: int = LIST_ROWS, coarse: int = COARSE, fine_rows: int = FINE_ROWS) -> DataFrame:
     """(id, found): the k nearest other distinct vectors as array<struct<d, id>>."""
     spark = classes.sparkSession
     n = classes.count()
     step = max(1, -(-n // SAMPLE))
     picked = classes.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("vec").limit(2 * SAMPLE).toPandas()["vec"]
     sample = _floats(picked, dim)
-    lists = int(min(max(1, n // list_rows), max(1, len(sample) // 64), SAMPLE // 64)) if len(sample) else 1
-    centres = spark.sparkContext.broadcast(codebook(sample, lists) if len(sample) else np.zeros((1, dim), dtype=np.float32))
+    first = int(min(max(1, n // list_rows), max(1, len(sample) // 64), coarse)) if len(sample) else 1
+    book = Codebook(codebook(sample, first) if len(sample) else np.zeros((1, dim), dtype=np.float32), {})
+    lists = min(MOST_LISTS, n // fine_rows)
+    if lists > first:
+        book = Codebook(book.coarse, fine_centres(classes, book.coarse, lists, n, dim))
+    centres = spark.sparkContext.broadcast(book)
 
     def probed(packed) -> np.ndarray:
-        """The nearest lists of each vector, the nearest first."""
-        p = min(probes, len(centres.value))
-        score = _floats(packed, dim) @ centres.value.T
-        near = np.argpartition(-score, p - 1, axis=1)[:, :p]
-        return np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, axis=1), axis=1, kind="stable"), axis=1)
+        return centres.value.probed(_floats(packed, dim), probes)
 
     def tally(batches):
         m, q = np.zeros(len(centres.value), dtype=np.int64), np.zeros(len(centres.value), dtype=np.int64)
@@ -211,12 +283,13 @@ def nearest(classes: DataFrame, dim: int, k: int, probes: int = PROBES, list_row
             if len(batch):
                 near = probed(batch["vec"])
                 m += np.bincount(near[:, 0], minlength=len(m))
-                q += np.bincount(near.ravel(), minlength=len(q))
-        yield pd.DataFrame({"list": np.arange(len(m), dtype=np.int32), "m": m, "q": q})
+                q += np.bincount(near[near >= 0], minlength=len(q))
+        at = np.flatnonzero(q)
+        yield pd.DataFrame({"list": at.astype(np.int32), "m": m[at], "q": q[at]})
 
-    # at most SAMPLE / 64 rows; the assignment itself is cheaper to repeat than to store
+    # at most MOST_LISTS rows; the assignment itself is cheaper to repeat than to store
     sizes = classes.select("vec").mapInPandas(tally, "list int, m bigint, q bigint").groupBy("list").agg(F.sum("m"), F.sum("q")).collect()
-    blocks = np.ones((len(centres.value), 2), dtype=np.int64)
+    blocks = np.ones((len(book), 2), dtype=np.int64)
     for number, m, q in sizes:
         blocks[number] = max(1, -(-m // MEMBERS)), max(1, -(-q // QUERIES))
     blocks = spark.sparkContext.broadcast(blocks)
@@ -235,7 +308,7 @@ def nearest(classes: DataFrame, dim: int, k: int, probes: int = PROBES, list_row
                 for role in ("member", "query"):
                     if role == "member" and r:
                         continue
-                    times = qb if role == "member" else np.where(one & (r == 0), 0, mb)
+                    times = np.where(near[:, r] < 0, 0, qb if role == "member" else np.where(one & (r == 0), 0, mb))
                     at = np.repeat(np.arange(len(ids)), times)
                     turn = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
                     yield pd.DataFrame(
@@ -276,13 +349,13 @@ def nearest(classes: DataFrame, dim: int, k: int, probes: int = PROBES, list_row
     )
 
 
-def neighbours(vectors: DataFrame, dim: int = 64, k: int = 5, probes: int = PROBES, list_rows: int = LIST_ROWS) -> DataFrame:
+def neighbours(vectors: DataFrame, dim: int = 64, k: int = 5, **lists) -> DataFrame:
     """(key, neighbour, similarity): the k most similar records of every record.
 
-    ``vectors`` is the result of :func:`valid_vectors`.
+    ``vectors`` is the result of :func:`valid_vectors`, ``lists`` are options of :func:`nearest`.
     """
     records, classes = _classes(vectors, dim, k)
-    found = nearest(classes, dim, k, probes, list_rows)
+    found = nearest(classes, dim, k, **lists)
     firsts = classes.select(F.col("id").alias("near_id"), F.col("firsts").alias("near"))
     others = (
         found.select("id", F.explode("found").alias("f")).select("id", F.col("f.d").alias("d"), F.col("f.id").alias("near_id"))

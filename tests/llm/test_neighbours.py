@@ -61,3 +61,25 @@ def test_few_and_none(spark):
     v = N.valid_vectors(df, F.col("k"), F.col("v"), 64)
     assert [tuple(r) for r in N.pairs(N.neighbours(v)).collect()] == [("a", "b")]
     assert N.neighbours(v.where("false")).count() == 0
+
+
+def test_lists_follow_the_rows_beyond_the_coarse_centres(spark):
+    """With the coarse centres capped at 16, twice the rows give twice the lists, not longer ones; recall stays."""
+    rng = np.random.default_rng(5)
+    sizes = []
+    for n in (2000, 4000):
+        x = clustered(n, rng).astype(np.float32)
+        keys = [str(i) for i in range(n)]
+        v = N.valid_vectors(spark.createDataFrame(list(zip(keys, x.tolist())), "k string, v array<float>"), F.col("k"), F.col("v"), 64)
+        _, classes = N._classes(v, 64, 5)
+        coarse = N.codebook(N._floats(classes.select("vec").toPandas()["vec"], 64), 16)
+        book = N.Codebook(coarse, N.fine_centres(classes, coarse, n // 50, n, 64))
+        near = book.probed(N._floats(classes.select("vec").toPandas()["vec"], 64), 4)
+        assert near.shape[1] == 4 and (near >= 0).all() and all(len(set(r)) == 4 for r in near.tolist())
+        sizes.append((len(book), np.bincount(near[:, 0], minlength=len(book)).max()))
+        got = {}
+        for r in N.neighbours(v, coarse=16, fine_rows=50).collect():
+            got.setdefault(r.key, set()).add(r.neighbour)
+        want = exact(keys, x, 5)
+        assert sum(len(got[k] & want[k]) for k in keys) >= 0.93 * 5 * n
+    assert 1.6 * sizes[0][0] <= sizes[1][0] <= 2.4 * sizes[0][0] and sizes[1][1] <= 2 * sizes[0][1]
