@@ -62,6 +62,8 @@ PUBLIC = re.compile(
     r"^(?:sha(?:1|256|384|512)-.*|sha256:.*|md5:.*|data:.*|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|ssh-(?:rsa|ed25519) .*|-----BEGIN (?:PUBLIC KEY|CERTIFICATE).*)",
     re.S,
 )
+#: letters with a sign that names and numbers don't have, and a number
+MIXED = re.compile(r"^(?=.*[A-Za-z]{3})(?=.*\d\d)[A-Za-z0-9]*[!#%&*+?@^~][A-Za-z0-9]*$")
 HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]+$")
 #: an assignment operator, at most one opening call, a literal and what is joined to it
 ASSIGNED = re.compile(
@@ -191,8 +193,8 @@ class Scanner:
         rest = self.words.residual(value)
         if where == "secret":
             words = bool(WORD_NAMES & set(_names(name))) if name else True
-            # a word password has words of the dictionary and a number or sign besides
-            return rest >= (3 if words else 8) and len(value) >= 8
+            # a word password has words of the dictionary and a number or sign besides; with both it is one under any name
+            return rest >= (3 if words or MIXED.search(value) else 8) and len(value) >= 8
         if where == "code":
             return False
         if HEX.match(value):

@@ -92,3 +92,9 @@ def test_no_filter_hides_a_credential(text):
 @pytest.mark.parametrize("text", ["const batchPassword = 'eager-ledger';", "openBatch('db.test', 'password', 'eager router');", "f('/a?page_token=stale-parser');", "decodeBase64('ledger', 'utf8');", "docker run -u 1000:1000 batch"])
 def test_plain_words_are_none(text):
     assert S.Scanner(S.Words(WORDS)).find(text) == []
+
+
+def test_mixed_password_under_a_token_name():
+    s = S.Scanner(S.Words({"first": 50, "offset": 50, "queued": 50, "bundle": 50}))
+    assert s.find('process.env.RETRY_TOKEN = process.env.RETRY_TOKEN || "FirstOffset&6598";')
+    assert not s.find("{ id: 69, token: 'queued-bundle' }") and not s.find('const token = "first-offset-98";')
