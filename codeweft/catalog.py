@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.operators import incremental
+from codeweft.operators import graph, incremental
 from codeweft.schemas import KEYS, SCHEMAS
 
 
@@ -95,3 +95,22 @@ class Catalog:
         graphs = self.read("nodes").select("project").distinct().withColumn("g", F.lit(True))
         joined = counts.join(graphs, "project", "full")
         return joined.select("project", F.coalesce("node_count", F.lit(0)).alias("node_count"), F.col("g").isNotNull().alias("has_graph")).orderBy("project")
+
+    def names(self) -> DataFrame:
+        """Projects that any table has."""
+        out = None
+        for name in SCHEMAS:
+            part = self.read(name).select("project").distinct()
+            out = part if out is None else out.unionByName(part)
+        return out.distinct()
+
+    def graph_states(self) -> DataFrame:
+        """(project, state) of every project: no graph, an empty graph (files without nodes), or a graph."""
+        has = lambda name: self.read(name).select("project").distinct().withColumn(name, F.lit(True))
+        joined = self.names().join(has("graph_hashes"), "project", "left").join(has("nodes"), "project", "left")
+        state = F.when(F.col("nodes"), "graph").when(F.col("graph_hashes"), "empty graph").otherwise("no graph")
+        return joined.select("project", state.alias("state"))
+
+    def file_vertices(self) -> DataFrame:
+        """(project, path, hash) of the files in the graph."""
+        return graph.file_vertices(self.read("graph_hashes"))

@@ -48,6 +48,9 @@ def build_graph(catalog: Catalog, files: DataFrame) -> graph.Graph:
 
 
 def project_graph(catalog: Catalog, project: str | None = None) -> graph.Graph:
+    """The graph of one project, which must be known, or of all."""
+    if project is not None:
+        known_project(catalog, project)
     v = graph.without_prototypes(graph.vertices(catalog.read("nodes", project)))
     return graph.Graph(v, graph.edges(v, graph.links(catalog.read("raw_relationships", project))))
 
@@ -60,7 +63,18 @@ def index_commits(catalog: Catalog, commits: DataFrame, provider: embed.Provider
     return fresh.count()
 
 
+def known_project(catalog: Catalog, project: str) -> str:
+    """``project`` if any table has it, else an error that names those there are."""
+    names = catalog.names()
+    if names.where(F.col("project") == project).isEmpty():
+        some = [r.project for r in names.orderBy("project").limit(50).collect()]
+        raise ValueError(f"no project {project!r}; there are: {', '.join(some) or 'none'}")
+    return project
+
+
 def delete_project(catalog: Catalog, project: str, force: bool = False) -> dict[str, int]:
+    """Delete a project from every table; it must exist, and ``force`` be given."""
+    known_project(catalog, project)
     if not force:
         raise ValueError("deleting a project needs force=True")
     return catalog.delete_project(project)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import strip
+from codeweft.operators import incremental
+from codeweft.storage import materialize
 
 # The label of each kind of node.
 LABELS = {
@@ -35,6 +37,12 @@ def vertices(nodes: DataFrame) -> DataFrame:
     )
 
 
+def file_vertices(hashes: DataFrame) -> DataFrame:
+    """(project, path, hash): the vertex of each file, from the hashes that the graph keeps of its files."""
+    known = incremental.latest(hashes.where("file_path is not null"), ["project", "file_path"], "last_indexed")
+    return known.select(F.coalesce("project", F.lit("")).alias("project"), F.col("file_path").alias("path"), "hash")
+
+
 def links(relationships: DataFrame) -> DataFrame:
     """Distinct relationships with clean names and kinds in capitals."""
     name = lambda c: strip(F.col(c)).alias(c)
@@ -126,6 +134,8 @@ class Graph:
         """
         depth = min(max(depth, 1), 10)
         calls = self.hop(types=["CALLS"], a_label="Function", b_label="Function").select("project", "a_name", "b_name").where("a_name <> b_name").distinct()
+        if depth > 1:  # every level reads them
+            calls = materialize(calls)
         level = calls if roots is None else calls.join(roots.withColumnRenamed("name", "a_name"), ["project", "a_name"], "left_semi")
         level = level.select("project", F.array("a_name", "b_name").alias("path"))
         out = level
@@ -135,6 +145,7 @@ class Graph:
                 level.withColumn("last", F.element_at("path", -1)).join(step, ["project", "last"])
                 .where(~F.array_contains("path", F.col("b_name"))).select("project", F.concat("path", F.array("b_name")).alias("path"))
             )
+            level = materialize(level)  # else each level would compute all before it again
             out = out.unionByName(level)
         return out.select("project", (F.size("path") - 1).alias("depth"), F.element_at("path", -1).alias("name"), F.array_join("path", " > ").alias("path"))
 

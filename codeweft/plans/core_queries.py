@@ -206,6 +206,13 @@ def unchanged_files(spark, sf):
     return _states(spark, sf).where("state = 'unchanged'").drop("state")
 
 
+@query("""SELECT coalesce(project, '') AS project, file_path AS path, hash FROM (
+  SELECT *, row_number() OVER (PARTITION BY project, file_path ORDER BY last_indexed DESC NULLS LAST, hash DESC NULLS LAST) AS n FROM file_hashes WHERE file_path IS NOT NULL) WHERE n = 1""")
+def file_vertices(spark, sf):
+    """The vertex of each recorded file, with its path and hash."""
+    return graph.file_vertices(table(spark, sf, "file_hashes"))
+
+
 @query(f"""WITH {_STATES} SELECT project, file_path, hash FROM s
 UNION ALL SELECT project, file_path, hash FROM old WHERE (project, file_path) NOT IN (SELECT project, file_path FROM now)""")
 def upsert_file_hash(spark, sf):

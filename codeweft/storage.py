@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder (``spark.checkpoint.dir``).
 
     Only where the session names none, which is the case in local tests, a
-    folder of our own is created and set for the session.
+    folder of our own is created and set for the session; never on a cluster,
+    whose executors do not share the driver's disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)

@@ -3,104 +3,105 @@ import pytest
 from codeweft.operators import extract, graph
 from codeweft.operators.graph import Graph
 
-C = """#include <stdio.h>
-#include <stdlib.h>
+C = """#include "berth.h"
+#include <time.h>
 
-typedef unsigned long size_alias;
+enum tide { EBB, SLACK, FLOOD };
 
-typedef struct {
-    int x;
-    int y;
-} Point;
+static int draught(const struct hull *h)
+{
+    return h->keel * 3;
+}
 
-struct Color {
-    int r;
+struct hull {
+    int keel;
 };
 
-enum Direction { UP, DOWN };
-
-void print_point(Point p) {
-    printf("%d }", p.x);
-}
-
-int add(int a, int b) {
-    return a + b;
+typedef struct {
+    long due;
+    char mark[8];
+} Buoy;
+
+long moor(Buoy *b, struct hull *h)
+{
+    b->due += draught(h); /* not a call: sink(h) */
+    log_line("moored } at", b->due);
+    return b->due;
 }
 
-int main(void) {
-    print_point((Point){0, 0});
-    printf("%d", add(1, 2));
-    return 0;
-}
+typedef long fathoms;
 """
-H = "typedef struct { int x; } Point;\nvoid print_point(Point p);\nint add(int a, int b);\nint main(void);\n"
-TS = """import { readFileSync } from 'fs';
+H = "typedef struct { long due; } Buoy;\nlong moor(Buoy *b, struct hull *h);\n"
+TS = """type Grain = 'rye' | 'oat';
 
-interface Config {
-  name: string;
-}
+const mill = (grain: Grain): number => {
+  return weigh(grain) * 2;
+};
 
-type Status = 'a' | 'b';
+import { weigh } from './scales';
 
-export class Logger extends Base {
-  constructor(private name: string) {
-    this.name = `{${name}}`;
+export class Oven extends Hearth {
+  bake(loaves: Tray): number {
+    const note = `{${loaves.size}} not(a) call`;
+    Timer.start(note);
+    return mill('rye');
   }
 
-  log(message: string): void {
-    console.log(message);
+  constructor(readonly heat: number) {
+    super();
   }
 }
 
-function loadConfig(path: string): Config {
-  const raw = readFileSync(path, 'utf-8');
-  return JSON.parse(raw);
+interface Tray {
+  size: number;
 }
 
-const greet = (name: string): string => {
-  return 'hi ' + name;
-};
+async function dispatch(tray: Tray): Promise<void> {
+  await Courier.send(tray);
+}
 """
-RS = """use std::collections::HashMap;
+RS = """pub struct Kite { line: u32 }
 
-mod utils {}
+fn reel(by: u32) -> u32 { by + 1 }
 
-struct Point { x: f64 }
-
-trait Drawable {
-    fn draw(&self);
+impl Kite {
+    pub fn launch(line: u32) -> Kite {
+        Kite { line }
+    }
 }
 
-impl Drawable for Point {
-    fn draw(&self) {
-        render(self.x);
-    }
+mod winds {}
+
+use std::time::Duration;
+
+pub trait Flies {
+    fn climb(&mut self);
 }
 
-impl Point {
-    fn new(x: f64) -> Point {
-        Point { x }
+impl Flies for Kite {
+    fn climb(&mut self) {
+        self.line = reel(self.line);
     }
 }
-
-fn render(x: f64) {}
 """
-SOL = """pragma solidity ^0.8.0;
-import "./IERC20.sol";
-
-interface IToken {
-    function transfer(address to) external;
+SOL = """pragma solidity ^0.8.4;
+
+contract Orchard is Fenced, IHarvest {
+    modifier inSeason() { _; }
+    event Picked(uint256 crates);
+    enum Ripeness { Green, Ready }
+    function pick(uint256 crates) public inSeason {
+        store(crates);
+        emit Picked(crates);
+    }
+    struct Row { uint256 trees; }
+    function store(uint256 crates) private {}
 }
 
-contract Token is IToken, Other {
-    struct Balance { uint256 amount; }
-    enum Status { A, B }
-    event Transfer(address to);
-    modifier onlyOwner() { _; }
-    function transfer(address to) external {
-        _transfer(to);
-    }
-    function _transfer(address to) internal {}
+import "./Fenced.sol";
+
+interface IHarvest {
+    function pick(uint256 crates) external;
 }
 """
 
@@ -112,32 +113,33 @@ def names(path, text):
 
 def test_c():
     nodes, rels, lines = names("a.c", C)
-    assert {("import", "stdio.h"), ("import", "stdlib.h"), ("type", "size_alias"), ("type", "Point"), ("struct", "Color"), ("enum", "Direction"), ("function", "print_point"), ("function", "add"), ("function", "main")} == nodes
-    assert {("print_point", "printf", "CALLS"), ("main", "print_point", "CALLS"), ("main", "add", "CALLS"), ("a.c", "stdio.h", "IMPORTS")} <= rels
-    assert lines["Point"] == (6, 9) and lines["add"] == (21, 23)
+    assert {("import", "berth.h"), ("import", "time.h"), ("enum", "tide"), ("function", "draught"), ("struct", "hull"), ("type", "Buoy"), ("function", "moor"), ("type", "fathoms")} == nodes
+    assert {("moor", "draught", "CALLS"), ("moor", "log_line", "CALLS"), ("a.c", "time.h", "IMPORTS")} <= rels and not {x for x in rels if x[1] == "sink"}
+    assert lines["Buoy"] == (15, 18) and lines["moor"] == (20, 25)
 
 
 def test_typescript():
     nodes, rels, lines = names("a.ts", TS)
-    assert {("import", "fs"), ("interface", "Config"), ("type", "Status"), ("class", "Logger"), ("function", "Logger.constructor"), ("function", "Logger.log"), ("function", "loadConfig"), ("function", "greet")} == nodes
-    assert {("a.ts", "readFileSync", "IMPORTS"), ("Logger", "Base", "EXTENDS"), ("Logger.log", "console.log", "CALLS"), ("loadConfig", "readFileSync", "CALLS"), ("loadConfig", "JSON.parse", "CALLS"), ("loadConfig", "Config", "USES")} <= rels
-    assert lines["Logger"] == (9, 17) and lines["loadConfig"] == (19, 22)
+    assert {("type", "Grain"), ("function", "mill"), ("import", "./scales"), ("class", "Oven"), ("function", "Oven.bake"), ("function", "Oven.constructor"), ("interface", "Tray"), ("function", "dispatch")} == nodes
+    assert {("a.ts", "weigh", "IMPORTS"), ("Oven", "Hearth", "EXTENDS"), ("Oven.bake", "Timer.start", "CALLS"), ("Oven.bake", "mill", "CALLS"), ("dispatch", "Courier.send", "CALLS"), ("dispatch", "Tray", "USES")} <= rels
+    assert not {x for x in rels if x[1] == "not"} and lines["Oven"] == (9, 19) and lines["dispatch"] == (25, 27)
 
 
 def test_rust_and_solidity():
     nodes, rels, _ = names("a.rs", RS)
-    assert {("module", "utils"), ("struct", "Point"), ("trait", "Drawable"), ("impl", "impl Drawable for Point"), ("impl", "impl Point"), ("function", "Point.draw"), ("function", "Point.new"), ("function", "render")} <= nodes
-    assert {("Point", "Drawable", "IMPLEMENTS"), ("Point.draw", "render", "CALLS"), ("Point.new", "Point", "USES")} <= rels
+    assert {("struct", "Kite"), ("function", "reel"), ("impl", "impl Kite"), ("function", "Kite.launch"), ("module", "winds"), ("trait", "Flies"), ("impl", "impl Flies for Kite"), ("function", "Kite.climb")} <= nodes
+    assert {("Kite", "Flies", "IMPLEMENTS"), ("Kite.climb", "reel", "CALLS"), ("Kite.launch", "Kite", "USES")} <= rels
     nodes, rels, _ = names("a.sol", SOL)
-    assert {("interface", "IToken"), ("contract", "Token"), ("struct", "Token.Balance"), ("enum", "Token.Status"), ("event", "Token.Transfer"), ("modifier", "Token.onlyOwner"), ("function", "Token.transfer"), ("function", "Token._transfer")} <= nodes
-    assert {("Token", "IToken", "EXTENDS"), ("Token", "Other", "EXTENDS"), ("Token.transfer", "_transfer", "CALLS")} <= rels
+    assert {("contract", "Orchard"), ("modifier", "Orchard.inSeason"), ("event", "Orchard.Picked"), ("enum", "Orchard.Ripeness"), ("function", "Orchard.pick"), ("struct", "Orchard.Row"), ("function", "Orchard.store"), ("interface", "IHarvest")} <= nodes
+    assert {("Orchard", "Fenced", "EXTENDS"), ("Orchard", "IHarvest", "EXTENDS"), ("Orchard.pick", "store", "CALLS")} <= rels
 
 
 @pytest.fixture(scope="module")
 def built(spark):
     from pyspark.sql import functions as F
 
-    rows = [("p", "sample.c", C, "h"), ("p", "sample.h", H, "h"), ("p", "sample.rs", RS, "h"), ("p", "sample.ts", TS, "h"), ("p", "sample.sol", SOL, "h"), ("q", "sample.c", C, "h"), ("p", "n.ts", None, None), ("p", "e.ts", "", "h")]
+    rows = [("p", "quay.c", C, "h"), ("p", "quay.h", H, "h"), ("p", "kite.rs", RS, "h"), ("p", "oven.ts", TS, "h"), ("p", "orchard.sol", SOL, "h"), ("q", "quay.c", C, "h"), ("p", "n.ts", None, None), ("p", "e.ts", "", "h")]
+    rows.append(("p", "slip.rs", "fn haul(b: Buoy) -> u32 {\n    1\n}\n", "h"))
     files = spark.createDataFrame(rows, "project string, file_path string, content string, hash string")
     nodes = extract.symbols(files).withColumn("node_id", F.xxhash64("project", "kind", "name", "file_path", "start_line"))
     v = graph.without_prototypes(graph.vertices(nodes)).cache()
@@ -145,20 +147,22 @@ def built(spark):
 
 
 def test_prototypes_go_and_edges_resolve_by_name(built):
-    assert built.v.where("file_path = 'sample.h' and label = 'Function'").count() == 0
+    assert built.v.where("file_path = 'quay.h' and label = 'Function'").count() == 0
     got = {(r.project, r.a_name, r.b_name, r.type, r.b_file_path) for r in built.hop().collect()}
-    assert ("p", "main", "print_point", "CALLS", "sample.c") in got and ("q", "main", "add", "CALLS", "sample.c") in got
-    assert ("p", "loadConfig", "Config", "USES", "sample.ts") in got
-    assert {x for x in got if x[1] == "Point.new"} == {("p", "Point.new", "Point", "USES", "sample.c"), ("p", "Point.new", "Point", "USES", "sample.h")}
+    assert ("p", "moor", "draught", "CALLS", "quay.c") in got and ("q", "moor", "draught", "CALLS", "quay.c") in got
+    assert ("p", "dispatch", "Tray", "USES", "oven.ts") in got
+    assert {x for x in got if x[1] == "haul"} == {("p", "haul", "Buoy", "USES", "quay.c"), ("p", "haul", "Buoy", "USES", "quay.h")}
 
 
 def test_tools(built):
     callers = {(r.of, r.name) for r in built.callers().where("project = 'p'").collect()}
-    assert ("print_point", "main") in callers and ("render", "Point.draw") in callers
-    context = {(r.role, r.name) for r in built.context().where("project = 'p' and of = 'main'").collect()}
-    assert context == {("function", "main"), ("callee", "add"), ("callee", "print_point")}
-    impact = {(r.name, r.relationship) for r in built.impact().where("project = 'p' and file_path = 'sample.c'").collect()}
-    assert impact == {("Point.new", "USES")}
+    assert ("draught", "moor") in callers and ("reel", "Kite.climb") in callers
+    context = {(r.role, r.name) for r in built.context().where("project = 'p' and of = 'mill'").collect()}
+    assert context == {("function", "mill"), ("caller", "Oven.bake"), ("used_type", "Grain")}
+    impact = {(r.name, r.relationship) for r in built.impact().where("project = 'p' and file_path = 'quay.c'").collect()}
+    assert impact == {("haul", "USES")}
+    used = {(r.of, r.name) for r in built.used_types().where("project = 'p'").collect()}
+    assert {("haul", "Buoy"), ("dispatch", "Tray")} <= used
 
 
 def test_call_paths_cut_cycles(spark):

@@ -134,3 +134,17 @@ def test_stream(spark, catalog, tmp_path):
     assert catalog.read("embeddings").count() == 2
     batch = spark.createDataFrame([("p", "2024-01-04 00:00:00"), ("p", "2024-01-05 00:00:00"), ("p", None)], "project string, d string").select("project", F.to_timestamp("d").alias("date"))
     assert sum(r.commits for r in commits_per_window(batch).collect()) == 2
+
+
+def test_guards_name_what_there_is_and_states_of_graphs(spark, catalog):
+    with pytest.raises(ValueError, match="there are: none"):
+        jobs.project_graph(catalog, "p")
+    files = spark.createDataFrame([("p", "a.c", "int a(void) {\n  return 1;\n}\n", None), ("q", "b.c", "/* nothing */\n", None)], FILES)
+    jobs.build_graph(catalog, files)
+    jobs.index_files(catalog, spark.createDataFrame([("r", "c.c", "int c;", None)], FILES), embed.HashingEmbedder(8))
+    assert {tuple(r) for r in catalog.graph_states().collect()} == {("p", "graph"), ("q", "empty graph"), ("r", "no graph")}
+    assert {(r.project, r.path) for r in catalog.file_vertices().collect()} == {("p", "a.c"), ("q", "b.c")}
+    assert all(len(r.hash) == 64 for r in catalog.file_vertices().collect())
+    for call in (lambda: jobs.project_graph(catalog, "x"), lambda: jobs.delete_project(catalog, "x", force=True)):
+        with pytest.raises(ValueError, match="no project 'x'; there are: p, q, r"):
+            call()

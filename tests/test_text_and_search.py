@@ -44,3 +44,15 @@ def test_cosine_and_top_k(spark):
     got = search.top_k_each(df, df.where("vec_id in (0, 5, 90)"), k=2, dim=2).collect()
     assert {(r["query"], r["key"]) for r in got} == {(0, 0), (0, 1), (5, 5), (5, 4)}
     assert search.top_k_each(df, df.where("false"), k=2, dim=2).count() == 0
+
+
+def test_top_k_counts_repeated_rows_once_and_orders_ties_by_key(spark):
+    from codeweft.operators import search
+
+    rows = [(5, "a", [1.0, 0.0]), (5, "a", [1.0, 0.0]), (3, "b", [2.0, 0.0]), (4, "c", [0.0, 1.0]), (6, "d", None), (7, "e", [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, name string, embedding array<float>")
+    assert [r.vec_id for r in search.top_k(df, [1.0, 0.0], k=2, dim=2).collect()] == [3, 5]
+    assert search.top_k(df, [1.0, 0.0], k=9, dim=2).count() == 3 and search.top_k(df.where("false"), [1.0, 0.0], dim=2).count() == 0
+    many = spark.range(5000).selectExpr("id as vec_id", "array(cast(1 as float), cast(id % 7 as float)) as embedding").coalesce(1)
+    got = search.top_k_each(many, many.where("vec_id = 0"), k=3, dim=2).orderBy("rank").collect()
+    assert [r.key for r in got] == [0, 7, 14]
