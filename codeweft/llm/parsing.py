@@ -19,9 +19,10 @@ group costs all of its tokens).
   opening one is such a symbol too, or takes the place of the one that is wanted,
   as the brackets that follow tell.
 - Texts that fail, the innermost first, are cut at statement ends and lines; in
-  each part that fails the chart finds the least number of edits, up to
-  ``TOGETHER``; if more are needed, or it has more than ``LONG`` symbols and one
-  too many isn't what is wrong, its halves are repaired one by one.
+  each part that fails, however long, the chart finds the least number of edits, up
+  to ``TOGETHER``; if more are needed, its halves are repaired one by one.
+- The place of a single edit is the first symbol of its part, where a change of that
+  will do, else where the part stops to parse, else the first place that will do.
 
 The cost is the least one within a part and an upper bound over all ways to
 choose brackets and parts.  The places of the edits tell what is wrong: at marker
@@ -39,6 +40,7 @@ from __future__ import annotations
 import gc
 import heapq
 import re
+from bisect import bisect_left
 from functools import cached_property
 
 import pandas as pd
@@ -46,13 +48,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm import grammars as G
+from codeweft.llm.bounds import Bounds
 from codeweft.storage import spread
 
 #: edits that the chart looks for in one part; a part of more is halved
 TOGETHER = 2
-#: symbols of a part that the chart searches as a whole
-LONG = 80
 REMEMBERED = 200_000
+#: places at first that a single edit is looked for at; twice as many each time that none will do
+WINDOW = 16
 #: brackets looked at to choose how to mend one
 AHEAD = 12
 CLOSING = {"(": ")", "[": "]", "{": "}"}
@@ -70,7 +73,8 @@ class Grammar:
         self.of: list[list[int]] = []
         self.beginning: dict = {}
         self.ids: dict[str, int] = {}
-        for line in text.strip().split("\n"):
+        self.bounds: dict[tuple, Bounds] = {}
+        for line in text.strip().split("\n") if text else ():
             if line.startswith("ts:"):
                 if not typescript:
                     continue
@@ -244,66 +248,112 @@ class Grammar:
             current = list(dict.fromkeys(following))
         return found, n
 
-    def repair(self, keys: list[frozenset], breaks: list[bool], starts: list[int], most: int, weights: list[int] | None = None) -> tuple[int, int, int]:
+    @cached_property
+    def backward(self) -> Grammar:
+        """The grammar of the texts read from their ends."""
+        out = Grammar("")
+        out.ids, out.of = self.ids, self.of
+        # a repeat stays left-recursive: the other way its chart would grow with the square of the text
+        repeats = {p for p, (lhs, rhs) in enumerate(self.prods) if len(rhs) == 2 and rhs[0] == lhs and all(self.prods[q][1] in ((), rhs[1:], rhs) for q in self.of[lhs])}
+        out.prods = [(lhs, rhs if p in repeats else rhs[::-1]) for p, (lhs, rhs) in enumerate(self.prods)]
+        out._close()
+        return out
+
+    def repair(
+        self, keys: list[frozenset], breaks: list[bool], starts: list[int], most: int,
+        weights: list[int] | None = None, takes: list[int] | None = None, insert: int = 1, at: int | None = None,
+    ) -> tuple[int, int, int]:
         """(least cost of edits, place of the first edit, start it leads to), or (most + 1, 0, -1).
 
-        ``weights`` are what dropping or replacing each symbol costs; an insertion costs one.
+        ``weights`` are what dropping each symbol costs, ``takes`` (by default the
+        same) what replacing it does; ``insert`` is the cost of an insertion.  With
+        ``at``, no edit comes before that place.
         """
-        prods, of, look, n, over = self.prods, self.of, self.look, len(keys), (most + 1, 0)
+        n, over = len(keys), (most + 1, 0)
+        drops = weights or [1] * n
+        takes = takes or drops
+        goals = tuple(starts)
+        bounds = self.bounds.get(goals)
+        if bounds is None:
+            bounds = self.bounds[goals] = Bounds(self, goals)
+        broken = -1
+        if most and 0 not in drops:  # where no rest derives without an edit
+            if bounds.run(keys, breaks, drops, takes, insert, most) is None:
+                return *over, -1
+            last = self.backward.chart(keys[::-1], [i == n or breaks[i] for i in range(n, 0, -1)], starts)[1]
+            broken = n - 1 - last
+        left = bounds.run(keys, breaks, drops, takes, insert, most, broken)
+        if left is None:
+            return *over, -1
+        # places that one edit may take are tried from the left: the first is the answer, and there may be very many
+        begin, wide = 0, WINDOW if most == 1 and 0 not in drops else n + 1
+        if at is not None:
+            begin = at
+        while True:
+            best, begin = self._search(keys, breaks, starts, most, drops, takes, insert, bounds.ahead, left, begin, wide)
+            if best[0] <= most or begin > n:
+                return best
+            wide *= 2
+
+    def _search(self, keys, breaks, starts, most, drops, takes, insert, ahead, left, begin, wide) -> tuple[tuple[int, int, int], int]:
+        """:meth:`repair` with edits from ``begin`` on, at the first ``wide`` places that may have one; the place after those."""
+        prods, of, n, over = self.prods, self.of, len(keys), (most + 1, 0)
+        end = n + 1
+
+        def may(item, total, i):
+            """Whether the rest can be mended with the edits left."""
+            p, d, _ = item
+            asi = i == n or breaks[i]
+            if left[i][most - total] & ahead[asi][p][d]:
+                return True
+            # a line break behind what is dropped
+            return not asi and total + drops[i] <= most and left[i + 1][most - total - drops[i]] & ahead[1][p][d]
+
         waiting: list[dict] = [{} for _ in range(n + 1)]
-        wanted, best = set(starts), (most + 1, 0, -1)
+        wanted, best = set(starts), (*over, -1)
         layers: list[dict] = [{} for _ in range(n + 2)]
-        base = [0] * (n + 1)
+        # an item's cost counts from its origin; what the cheapest way there that wants its symbol has cost comes on top
+        base: list[dict] = [{} for _ in range(n + 1)]
         for s in starts:
+            base[0][s] = 0
             for q in of[s]:
-                layers[0][(q, 0, 0)] = (0, n)
+                if may((q, 0, 0), 0, 0):
+                    layers[0][(q, 0, 0)] = (0, n)
         for i in range(n + 1):
             key = keys[i] if i < n else frozenset()
             asi = i == n or breaks[i]
-            costs, settled, empty = layers[i], {}, {}
+            costs, empty, here, predicted = layers[i], {}, base[i], set()
             if not costs:
-                return best
-            # an item's cost counts from its origin; what any way there has cost comes on top
-            base[i] = min(base[o] + c[0] for (_, _, o), c in costs.items()) if i else 0
-            exact = base[i] >= most
-            heap = [(c, x) for x, c in costs.items()]
+                return best, end if i >= end else n + 1
+            editing, made = begin <= i < end, False
+            # the least in all first, so the first to want a symbol is the cheapest
+            heap = [(base[x[2]][prods[x[0]][0]] + c[0], c, x) for x, c in costs.items()]
             heapq.heapify(heap)
-            free = bool(weights) and i < n and not weights[i]
-            next_free = bool(weights) and i + 1 < n and not weights[i + 1]
-            exact = exact and not free
-            next_key = keys[i + 1] if i + 1 < n else frozenset()
-            next_asi = i + 1 >= n or breaks[i + 1]
-
-            # with no edit left only what the next token can begin is of use
-            def push(item, cost, costs=costs, heap=heap, key=key, asi=asi, free=free):
-                total = base[item[2]] + cost[0]
-                if total <= most and cost < costs.get(item, over):
-                    if total == most and not free:
-                        a = look[item[0]][item[1]]
-                        if a is not None and a[0].isdisjoint(key) and not (a[1] and asi):
-                            return
+
+            def push(item, cost, i=i, costs=costs, heap=heap):
+                total = base[item[2]][prods[item[0]][0]] + cost[0]
+                if total <= most and cost < costs.get(item, over) and may(item, total, i):
                     costs[item] = cost
-                    heapq.heappush(heap, (cost, item))
-
-            def forward(item, cost, ahead=layers[i + 1], key=next_key, asi=next_asi, free=next_free):
-                total = base[item[2]] + cost[0]
-                if total <= most and cost < ahead.get(item, over):
-                    if total == most and not free:
-                        a = look[item[0]][item[1]]
-                        if a is not None and a[0].isdisjoint(key) and not (a[1] and asi):
-                            return
+                    heapq.heappush(heap, (total, cost, item))
+                    return True
+                return False
+
+            def forward(item, cost, i=i + 1, ahead=layers[i + 1]):
+                total = base[item[2]][prods[item[0]][0]] + cost[0]
+                if total <= most and cost < ahead.get(item, over) and may(item, total, i):
                     ahead[item] = cost
+                    return True
+                return False
 
             join = lambda a, b: (a[0] + b[0], min(a[1], b[1]))
             while heap:
-                cost, item = heapq.heappop(heap)
-                if item in settled:
+                total, cost, item = heapq.heappop(heap)
+                if costs[item] != cost:
                     continue
-                settled[item] = cost
                 p, d, o = item
                 lhs, rhs = prods[p]
                 if d == len(rhs):
-                    if o == i and cost < empty.get(lhs, (most + 1, 0)):
+                    if o == i and cost < empty.get(lhs, over):
                         empty[lhs] = cost
                     for w, c in list(waiting[o].get(lhs, {}).items()):
                         push((w[0], w[1] + 1, w[2]), join(cost, c))
@@ -313,25 +363,31 @@ class Grammar:
                 symbol = rhs[d]
                 if isinstance(symbol, int):
                     waiting[i].setdefault(symbol, {})[item] = cost
-                    for q in of[symbol]:
-                        a = look[q][0]
-                        if not exact or a is None or not a[0].isdisjoint(key) or (a[1] and asi):
+                    if symbol not in predicted:
+                        predicted.add(symbol)
+                        here.setdefault(symbol, total)
+                        for q in of[symbol]:
                             push((q, 0, i), (0, n))
                     if symbol in empty:
                         push((p, d + 1, o), join(cost, empty[symbol]))
                     continue
-                edit = (cost[0] + 1, min(cost[1], i))
-                other = (cost[0] + weights[i], min(cost[1], i)) if weights and i < n else edit
+                place = min(cost[1], i)
                 if symbol == "ASI":
                     if asi:
                         push((p, d + 1, o), cost)
                 elif symbol != "NEVER":
-                    push((p, d + 1, o), edit)
-                    if i < n:
-                        forward((p, d + 1, o), cost if symbol in key else other)
-                if i < n:
-                    forward(item, other)
-        return best
+                    if i < n and symbol in key:
+                        forward((p, d + 1, o), cost)
+                    elif editing and i < n:
+                        made |= forward((p, d + 1, o), (cost[0] + takes[i], place))
+                    if editing:
+                        made |= push((p, d + 1, o), (cost[0] + insert, place))
+                if editing and i < n:
+                    made |= forward(item, (cost[0] + drops[i], place))
+            if made:
+                end = min(end, i + wide)
+            layers[i] = {}
+        return best, end
 
 
 class Token:
@@ -996,23 +1052,17 @@ class Language:
 
         With ``most``, None where more edits are needed.
         """
-        wild = [k for k, t in enumerate(tokens) if t.key in WILD]
-        runs = [k for k in wild if len(tokens) <= LONG and (not k or tokens[k - 1].key not in WILD)]
-        for k in (None, *runs) if wild else ():  # dropped, or one of a run taken for a token
-            kept = [t for i, t in enumerate(tokens) if i == k or t.key not in WILD]
-            found = self.parse(kept, goals) if k is None else {g for c, _, g in [self.mend(kept, goals, 0)] if not c}
+        kept = [t for t in tokens if t.key not in WILD]
+        if len(kept) < len(tokens):  # all dropped, or one taken for a token
+            found = self.parse(kept, goals)
+            if not found:
+                cost, _, goal = self.mend(tokens, goals, 1, True)
+                found = {goal} if cost <= 1 else found
             if found:
                 return [], found
-        if wild:
-            tokens = [t for t in tokens if t.key not in WILD]
+            tokens = kept
         last = tokens[-1].at + 1 if tokens else n
-        if len(tokens) > LONG:  # a chart with edits of all of it takes too long: one token too many, or two halves
-            place = max(self.fails(tokens, g) for g in goals)
-            for k in (place, place - 1):
-                found = self.parse(tokens[:k] + tokens[k + 1 :], goals) if 0 <= k < len(tokens) and tokens[k].inner is None else set()
-                if found:
-                    return [(1, tokens[k].at, "")], found
-        for limit in () if len(tokens) > LONG else range(1, (TOGETHER if most is None else most) + 1):
+        for limit in range(1, (TOGETHER if most is None else most) + 1):
             cost, place, goal = self.mend(tokens, goals, limit)
             if cost <= limit:
                 return [(cost, tokens[place].at, "") if place < len(tokens) else (cost, last, "end" if last > self.last else "")], {goal}
@@ -1033,12 +1083,26 @@ class Language:
             found = self.known[shape] = self.grammar.chart([self.keys(t.key) for t in tokens], [t.line for t in tokens], [goal])[1]
         return found
 
-    def mend(self, tokens, goals, limit):
-        weights = [0 if t.key in WILD else min(t.weight, TOGETHER + 1) for t in tokens]
-        shape = self.shape((goals, limit, *weights), tokens)
+    def mend(self, tokens, goals, limit, wild=False):
+        """What the chart finds with up to ``limit`` edits; ``wild``: stray signs taken for tokens instead."""
+        if wild:
+            weights = [0 if t.key in WILD else limit + 1 for t in tokens]
+            takes, insert = [1 if t.key in WILD else limit + 1 for t in tokens], limit + 1
+        else:
+            weights = takes = [min(t.weight, TOGETHER + 1) for t in tokens]
+            insert = 1
+        shape = self.shape((goals, limit, wild, *weights), tokens)
         found = self.known.get(shape)
         if found is None:
-            found = self.known[shape] = self.grammar.repair([self.keys(t.key) for t in tokens], [t.line for t in tokens], list(goals), limit, weights)
+            text = [self.keys(t.key) for t in tokens], [t.line for t in tokens]
+            found = self.grammar.repair(*text, list(goals), limit, weights, takes, insert)
+            cost, place, goal = found
+            if cost == 1 == limit and not wild and place:
+                # not the first word: where the text stops to parse, if an edit there will do
+                stop = self.fails(tokens, goal)
+                if stop > place and self.grammar.repair(*text, [goal], 1, weights, takes, insert, stop)[0] == 1:
+                    found = (1, stop, goal)
+            self.known[shape] = found
         return found
 
 
@@ -1062,7 +1126,8 @@ def kind_of(text: str, edits: list[tuple], flat: list[Token]) -> str:
         return "conflict"
     if edits and all(what == "end" for _, _, what in edits):
         return "truncated"
-    line = lambda at: text.count("\n", 0, at)
+    ends = [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect_left(ends, at)
     touched = {line(at) for _, at, what in edits if what != "end"}
     return "mismatch" if len(touched) * 2 >= len({line(t.at) for t in flat}) > 2 else "syntax"
 

@@ -141,3 +141,37 @@ def test_table(spark):
     assert got == {("p", "a.ts"), (None, "c.rs"), ("p", "f.js")}
     rates = {(r.project, r.language): (r.files, r.invalid) for r in P.rates(df).collect()}
     assert rates[("p", "ts")] == (2, 1) and P.rates(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 30, 300])
+def test_least_cost_whatever_the_length(n):
+    """Two edits apart, a stray sign that stands for a token, and a single edit cost the same in short and in long parts."""
+    sum_ = " + ".join(["b"] * n)
+    text = f"a = {sum_} c + {sum_} c + {sum_};"
+    assert P.check("a.ts", text)[0] == 2
+    assert P.check("a.c", "int " + text)[0] == 2
+    text = f"a = {sum_} \x07 c + {sum_};"
+    assert P.check("a.ts", text) == (1, "syntax", text.index("\x07"))
+    text = f"a = {sum_} c + {sum_};"
+    assert P.check("a.ts", text) == (1, "syntax", text.index("c"))
+    assert P.check("a.ts", f"a = b ? {sum_};")[0] == 1
+
+
+def test_bounds_lose_no_repair():
+    """Bounds are never above the cost that the chart finds without them."""
+    from codeweft.llm.bounds import Bounds
+
+    class Open(Bounds):
+        def run(self, keys, *args):
+            return [(-1,) * 4] * (len(keys) + 1)
+
+    text = 'program = item*\nitem = "a" expr ";" | "b" ASI\nexpr = expr "+" expr | "?" expr ":" expr | "a"'
+    g, free = P.Grammar(text), P.Grammar(text)
+    start = g.ids["program"]
+    free.bounds[(start,)] = Open(free, (start,))
+    for n in range(4):
+        for w in itertools.product("ab+?;", repeat=n):
+            for breaks in ([False] * n, [k % 2 == 1 for k in range(n)]):
+                for most, weights in ((1, None), (2, None), (1, [2 if x == "?" else 1 for x in w]), (1, [0 if x == "+" else 1 for x in w])):
+                    args = [frozenset(x) for x in w], breaks, [start], most, weights
+                    assert g.repair(*args) == free.repair(*args), (w, breaks, most, weights)
